@@ -1,8 +1,9 @@
 """Queries of this subpackage: name -> function of (spark, sf_dir), and SQL where it can express them."""
 
-from lodestar.llm import exact_dedup, mixing
+from lodestar.llm import exact_dedup, mixing, packing
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
     "op3_exact_dedup": exact_dedup.op3,
     "op7_mixing": mixing.op7,
 }

@@ -90,15 +90,32 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return b.astype(np.uint16 if blocks <= 1 << 16 else np.uint32)
 
 
+def _pack(h: np.ndarray, wide: int) -> bytes:
+    return np.ascontiguousarray(h, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+
+
+def _unpack(b: bytes, wide: int) -> np.ndarray:
+    out = np.zeros((len(b) // wide, 8), dtype=np.uint8)
+    out[:, :wide] = np.frombuffer(b, dtype=np.uint8).reshape(-1, wide)
+    return out.view("<u8").ravel()
+
+
 def pack7(h: np.ndarray) -> bytes:
     """The lower 7 bytes of each."""
-    return np.ascontiguousarray(h, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    return _pack(h, 7)
 
 
 def unpack7(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 7, 8), dtype=np.uint8)
-    out[:, :7] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 7)
-    return out.view("<u8").ravel()
+    return _unpack(b, 7)
+
+
+def pack6(h: np.ndarray) -> bytes:
+    """The lower 6 bytes of each, for counts that need not tell every pair of hashes apart."""
+    return _pack(h, 6)
+
+
+def unpack6(b: bytes) -> np.ndarray:
+    return _unpack(b, 6)
 
 
 def block_count(docs: DataFrame, mb: int = 8) -> int:

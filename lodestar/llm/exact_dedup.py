@@ -64,6 +64,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns. docs is a scan of files, whose rows have the same numbers each time."""
+    dropped = exact_groups(docs).where("NOT kept").select(F.col("row_id").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(dropped, "_row", "left_anti").drop("_row")
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_groups(docs).drop("row_id")

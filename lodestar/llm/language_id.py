@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lodestar.llm import blocks as B
 
@@ -199,18 +199,15 @@ def fit(docs: DataFrame, per_language: int = 800, folds: int = 4, fold: int = 2)
     return Model(samples)
 
 
-PREDICTED = "lang_pred string, score double"
-
-
-def predictor(model: Model, passed: int, names: list[str]):
-    """For mapInArrow: the first `passed` columns as they are, and the prediction of the last, the text."""
+def predictor(model: Model, text: int, kept: list[int], names: list[str]):
+    """For mapInArrow: the columns `kept`, then language and score of the column `text`; names are those of the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for at, rows in B.slices(texts):
-                lang, score = model.predict(texts.slice(at, rows))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, rows) for c in batch.columns[:passed]), pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            for at, rows in B.slices(batch.column(text)):
+                part = batch.slice(at, rows)
+                lang, score = model.predict(part.column(text))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score)], names=names)
 
     return run
 
@@ -220,7 +217,15 @@ def identify(docs: DataFrame, per_language: int = 800) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = fit(docs, per_language)
     told = docs.select("doc_id", out_of_training(F.col("doc_id"), 4, 2).alias("held_out"), "text")
-    return told.mapInArrow(predictor(model, 2, ["doc_id", "held_out"]), f"doc_id long, held_out boolean, {PREDICTED}")
+    return told.mapInArrow(predictor(model, 2, [0, 1], ["doc_id", "held_out", "lang_pred", "score"]), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, per_language: int = 800) -> DataFrame:
+    """The rows of docs, with all their columns, whose language can be told."""
+    model = fit(docs.select("doc_id", "text", "lang"), per_language)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    told = docs.mapInArrow(predictor(model, docs.columns.index("text"), list(range(len(docs.columns))), schema.names), schema)
+    return told.where("_lang_pred != 'und'").drop("_lang_pred", "_lang_score")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

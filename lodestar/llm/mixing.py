@@ -99,6 +99,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     return placed.select("row_id", "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"))
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it. docs is a scan of files, whose rows have the same numbers each time."""
+    taken = mix(docs).where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    both = docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -244,5 +244,13 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     return nodes.select("row_id", "doc_id", "n", "digest").join(classes, "digest", "left").select("row_id", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def kept_rows(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """docs without all but the first row of each component. docs is a scan of files, whose rows have the same numbers each time."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    told = near_groups(numbered.select(F.col("_row").alias("doc_id"), "text"), k, percent)
+    dropped = store.table(told.where("component_id != doc_id").select(F.col("doc_id").alias("_row")), "dropped")
+    return numbered.join(dropped, "_row", "left_anti").drop("_row")
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_id")

@@ -1,10 +1,11 @@
 """Queries of this subpackage: name -> function of (spark, sf_dir), and SQL where it can express them."""
 
-from lodestar.llm import exact_dedup, language_id, lm_scoring, mixing, near_join, packing, warc
+from lodestar.llm import exact_dedup, html_text, language_id, lm_scoring, mixing, near_join, packing, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op3_exact_dedup": exact_dedup.op3,
+    "op4_html_text": html_text.op4,
     "op5_warc": warc.op5,
     "op6_language_id": language_id.op6,
     "op7_mixing": mixing.op7,

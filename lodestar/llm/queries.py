@@ -1,9 +1,10 @@
 """Queries of this subpackage: name -> function of (spark, sf_dir), and SQL where it can express them."""
 
-from lodestar.llm import exact_dedup, html_text, language_id, lm_scoring, mixing, near_join, packing, warc
+from lodestar.llm import exact_dedup, html_text, language_id, lm_scoring, mixing, near_join, neighbours, packing, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op2_multi_index_hashing": neighbours.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_html_text": html_text.op4,
     "op5_warc": warc.op5,

@@ -1,6 +1,6 @@
 """Queries of this subpackage: name -> function of (spark, sf_dir), and SQL where it can express them."""
 
-from lodestar.llm import exact_dedup, html_text, language_id, lm_scoring, mixing, near_join, neighbours, packing, warc
+from lodestar.llm import exact_dedup, html_text, language_id, line_dedup, lm_scoring, mixing, near_join, neighbours, packing, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc": warc.op5,
     "op6_language_id": language_id.op6,
     "op7_mixing": mixing.op7,
+    "op8_line_dedup": line_dedup.op8,
     "op9_lm_scoring": lm_scoring.op9,
     "op10_ngram_jaccard": near_join.op10,
 }

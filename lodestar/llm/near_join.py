@@ -7,8 +7,8 @@
    matrix, a column for each n-gram.
 3. Documents with equal n-gram sets are one node. In each round nodes name the column leader with which they share most
    columns; named pairs are verified on the whole sets and linked ones join one component. Columns within one component
-   need no more work. Once the pairs between components in the rest are few enough, in proportion to the entries, all of
-   them have their overlaps accumulated; those below the bound that the sizes set are discarded, the others verified.
+   need no more work. Then all pairs between components in the rest are taken, but those that cannot reach the overlap
+   that their sizes ask for, and verified.
 
 So no link between different components is lost, and a group of n near copies costs about n pairs.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm import blocks as B, store
 from lodestar.llm.components import components
@@ -144,10 +144,11 @@ def gather(percent: int):
 
 
 def prefix_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (row_id, n, prefix, tokens): (token, node, n, own), own: how many n-grams no other document has."""
+    """For mapInArrow over (row_id, n, prefix, tokens): (token, node, n, own, ahead). own: how many n-grams no other document has; ahead: how many shared ones there are from this one on."""
     for batch in batches:
         for node, n, prefix, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tokens, dtype="<i8")[:prefix]), pa.array(np.full(prefix, node)), pa.array(np.full(prefix, n, dtype=np.int32)), pa.array(np.full(prefix, n - len(tokens) // 8, dtype=np.int32))], names=["token", "node", "n", "own"])
+            k = len(tokens) // 8
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tokens, dtype="<i8")[:prefix]), pa.array(np.full(prefix, node)), pa.array(np.full(prefix, n, dtype=np.int32)), pa.array(np.full(prefix, n - k, dtype=np.int32)), pa.array(np.arange(k, k - prefix, -1, dtype=np.int32))], names=["token", "node", "n", "own", "ahead"])
 
 
 def verify(percent: int):
@@ -173,56 +174,53 @@ def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(verify(percent), "a long, b long")
 
 
-def links(nodes: DataFrame, percent: int, rounds: int = 10) -> DataFrame:
+def links(nodes: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """nodes: row_id, n, prefix, tokens, all sets different. (node, label) of the nodes that link; label is the least node of the component."""
-    entries = nodes.select("row_id", "n", "prefix", "tokens").mapInArrow(prefix_entries, "token long, node long, n int, own int")
+    entries = nodes.select("row_id", "n", "prefix", "tokens").mapInArrow(prefix_entries, "token long, node long, n int, own int, ahead int")
     shared = entries.groupBy("token").count().where("count > 1").select("token")
     entries = store.table(entries.join(shared, "token", "left_semi").withColumn("label", F.col("node")), "entries")
     total = entries.count()
-    edges = nodes.sparkSession.createDataFrame([], "a long, b long")
+    few, many = max(6, nodes.count() // 20_000), max(12, total // 200_000)  # parts of tables of nodes, of entries
+    edges = None
     for i in range(rounds + 1):
         sizes = entries.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        open_tokens = store.table(sizes.where("m * m > own"), "open")
+        open_tokens = store.table(sizes.where("m * m > own"), "open", many)
         pairs_left = open_tokens.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0
         if not pairs_left:
             break
-        entries = store.table(entries.join(open_tokens.select("token"), "token", "left_semi"), "entries")
+        entries = entries.join(open_tokens.select("token"), "token", "left_semi")
         every = pairs_left <= max(total, 20_000) or i == rounds
-        if every:
-            found = linked(pairs_between(entries, percent), nodes, percent)
-        else:
-            found = linked(pairs_to_leaders(entries, percent, i), nodes, percent)
-        found = store.table(found, "links")
-        edges = store.table(edges.unionByName(found), "links")
-        labels = store.table(components(edges), "labels")
+        found = pairs_between(entries, percent) if every else pairs_to_leaders(entries, percent, i)
+        found = store.table(linked(store.table(found, "pairs", few), nodes, percent), "links", few)
+        edges = found if edges is None else edges.unionByName(found)
+        labels = store.table(components(edges, few), "labels", few)
         if every:
             return labels
-        entries = store.table(entries.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "entries")
-    return store.table(components(edges), "labels")
+        entries = store.table(entries.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "entries", many)
+    if edges is None:
+        return nodes.select(F.col("row_id").alias("node"), F.col("row_id").alias("label")).limit(0)
+    return labels
 
 
-def fits(percent: int, n_a: str = "n_a", n_b: str = "n_b"):
-    """Sizes of which one is not too small for the other."""
-    return (100 * F.least(n_a, n_b)) >= percent * F.greatest(n_a, n_b)
+def reaches(percent: int, a: str, b: str) -> Column:
+    """Whether the overlap that the sizes ask for can be had if this column is the first that both have: from here on, each must have as many shared n-grams."""
+    n, ahead = lambda x: F.col(f"{x}.n"), lambda x: F.col(f"{x}.ahead")
+    return F.least(ahead(a), ahead(b)) * (100 + percent) >= percent * (n(a) + n(b))
 
 
 def pairs_to_leaders(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each node with the leader that most of its columns have: at first the node with the fewest n-grams of its own, later any."""
     score = F.struct(-F.col("own").cast("double") / F.col("n"), "node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "label").cast("double"), F.xxhash64(F.lit(turn), "node"))
-    leaders = entries.groupBy("token").agg(F.max_by(F.struct("node", "label", "n"), score).alias("lead"))
-    named = entries.join(leaders, "token").where((F.col("label") != F.col("lead.label"))).select("node", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"))
-    named = named.where(fits(percent)).groupBy("node", "a").count()
-    return named.groupBy("node").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", F.col("node").alias("b"))
+    leaders = entries.groupBy("token").agg(F.max_by(F.struct("node", "label", "n", "ahead"), score).alias("lead")).select("token", "lead.*")
+    named = entries.alias("b").join(leaders.alias("a"), (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & reaches(percent, "a", "b"))
+    named = named.groupBy(F.col("b.node").alias("b"), F.col("a.node").alias("a")).count()
+    return named.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
 
 def pairs_between(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different components in a column, but those whose shared columns cannot make up the overlap that their sizes ask for."""
-    side = lambda x: entries.select("token", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"))
-    both = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits(percent))
-    overlap = both.groupBy("a", "b", "n_a", "n_b").count()
-    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100.0 + percent) - 1e-6)
-    beyond = F.ceil(percent * F.greatest("n_a", "n_b") / 100.0 - 1e-9) - 1  # n-grams behind the prefix
-    return overlap.where(F.col("count") + beyond >= need).select("a", "b")
+    """All pairs of nodes of different components that have a column in common from which on the overlap that their sizes ask for can be had."""
+    both = entries.alias("a").join(entries.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & reaches(percent, "a", "b"))
+    return both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:

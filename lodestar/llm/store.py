@@ -32,9 +32,10 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet and read again. It stays until the session's process ends: results are lazy and may read it at any time."""
+def table(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
+    """df written as Parquet, in so many parts if told, and read again. It stays until the session's process ends: results are lazy and may read it at any time."""
     spark = df.sparkSession
+    df = df if parts is None else df.coalesce(parts)
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

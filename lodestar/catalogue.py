@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lodestar.functions import ranks as R, scalars as S
 from lodestar.operators import decisions as D, evaluation as E, events as EV, filters as FL, predictors as P
+from lodestar.plans.settings import Data, Settings, recommend
 from lodestar.sources import tables as T
+from lodestar.streaming import updates as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -427,3 +429,396 @@ def attr_lift_predict(s, d):
 def attr_lift_similar(s, d):
     c = FL.without_seeds(T.candidates(s, d), seeds(s, d))
     return P.attribute_lift_similar(c, seeds(s, d), T.product_attrs(s, d, *ATTRS), lift(s, d)).select("request_id", "product_id", r6("prediction"))
+
+
+# Content models.
+
+BAYES = (
+    VIEWS
+    + """combos AS (SELECT product_id, attr_idx || '=' || value AS combo FROM attrs UNION ALL
+            SELECT a.product_id, '0=' || a.value || '&1=' || b.value FROM attrs a JOIN attrs b USING (product_id) WHERE a.attr_idx = 0 AND b.attr_idx = 1),
+each AS (SELECT * FROM views JOIN combos USING (product_id)),
+nca AS (SELECT consumer_id, combo, context, count(*) AS n FROM each GROUP BY ALL),
+nc AS (SELECT consumer_id, context, count(*) AS n FROM each GROUP BY ALL),
+na AS (SELECT combo, count(*) AS n FROM each WHERE context = 0 GROUP BY ALL),
+tot AS (SELECT count(*) AS t FROM each WHERE context = 0),
+"""
+)
+
+
+def bayes(s, d):
+    combos = P.combinations(T.product_attrs(s, d, *ATTRS))
+    return P.bayes_stats(views(s, d), combos), combos
+
+
+@query("SELECT 0 AS g, context, count(*) AS rows, CAST(sum(n) AS BIGINT) AS n FROM nca GROUP BY ALL UNION ALL SELECT 2, context, count(*), CAST(sum(n) AS BIGINT) FROM nc GROUP BY ALL UNION ALL SELECT 4, context, count(DISTINCT combo), count(*) FROM each GROUP BY ALL UNION ALL SELECT 6, context, 1, count(*) FROM each GROUP BY ALL", BAYES)
+def nb_stats(s, d):
+    stats, _ = bayes(s, d)
+    return stats.groupBy(F.col("g").cast("int").alias("g"), "context").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+
+
+@query("""SELECT request_id, product_id, round(coalesce(p, 0), 6) AS prediction FROM cands LEFT JOIN (SELECT request_id, product_id, greatest(exp(sum(ln(f)) / (count(*) * 0.5)) - 1, 0) AS p FROM (
+            SELECT request_id, product_id, q.combo, greatest(0.9, least(1 + coalesce(any_value(ca0), 0) / 2, exp(0.5 * sum(ln((coalesce(x.n, 0) + 10 * pu) / (coalesce(y.n, 0) + 10) / p0))))) AS f FROM (
+              SELECT *, (coalesce(ca0, 0) + 10 * p0) / (c0 + 10) AS pu, unnest([0, 7]) AS context FROM (
+                SELECT c.*, k.combo, (coalesce(na.n, 0) + 1e-6) / (t + 2) AS p0, h.n AS c0, o.n AS ca0 FROM cands c JOIN combos k USING (product_id) JOIN nc h ON h.consumer_id = c.consumer_id AND h.context = 0
+                LEFT JOIN na ON na.combo = k.combo LEFT JOIN nca o ON o.consumer_id = c.consumer_id AND o.combo = k.combo AND o.context = 0, tot)) q
+            LEFT JOIN nca x ON x.consumer_id = q.consumer_id AND x.combo = q.combo AND x.context = q.context LEFT JOIN nc y ON y.consumer_id = q.consumer_id AND y.context = q.context GROUP BY request_id, product_id, q.combo)
+          GROUP BY 1, 2) USING (request_id, product_id)""", BAYES)
+def nb_predict(s, d):
+    stats, combos = bayes(s, d)
+    return P.naive_bayes(T.candidates(s, d), stats, combos, [0, 7], 10).select("request_id", "product_id", r6("prediction"))
+
+
+@query("""SELECT request_id, product_id, round(coalesce(p, 0), 6) AS prediction FROM (SELECT * FROM cands WHERE pos > 1) LEFT JOIN (SELECT request_id, product_id, greatest(exp(sum(ln(least(3, (coalesce(sa, 0) + 10 * p0) / (ss + 10) / p0))) / 2) - 1, 0) AS p FROM (
+            SELECT c.request_id, c.product_id, (coalesce(na.n, 0) + 0.01) / (t + 2) AS p0, sd.n AS sa, sn.n AS ss FROM cands c JOIN combos k USING (product_id) LEFT JOIN na ON na.combo = k.combo
+            LEFT JOIN (SELECT request_id, combo, count(*) AS n FROM cands JOIN combos USING (product_id) WHERE pos = 1 GROUP BY 1, 2) sd ON sd.request_id = c.request_id AND sd.combo = k.combo
+            LEFT JOIN (SELECT request_id, count(*) AS n FROM cands JOIN combos USING (product_id) WHERE pos = 1 GROUP BY 1) sn ON sn.request_id = c.request_id, tot WHERE c.pos > 1) GROUP BY 1, 2) USING (request_id, product_id)""", BAYES)
+def nb_similar(s, d):
+    stats, combos = bayes(s, d)
+    return P.naive_bayes_similar(FL.without_seeds(T.candidates(s, d), seeds(s, d)), seeds(s, d), stats, combos, 10, 2).select("request_id", "product_id", r6("prediction"))
+
+
+@query("""SELECT request_id, value, CAST(greatest(greatest(0, 5 - floor((items - m) / 2)), floor(5 * coalesce(c, 0) / greatest(max(coalesce(c, 0)) OVER (PARTITION BY request_id), 1) / 2 + 0.5) + 1) AS BIGINT) AS max_items FROM
+          (SELECT request_id, consumer_id, value, count(*) AS m FROM cands JOIN attrs USING (product_id) WHERE attr_idx = 1 GROUP BY 1, 2, 3) JOIN (SELECT request_id, count(*) AS items FROM cands GROUP BY 1) USING (request_id)
+          LEFT JOIN (SELECT consumer_id, value, count(*) AS c FROM buys JOIN attrs USING (product_id) WHERE attr_idx = 1 GROUP BY 1, 2) USING (consumer_id, value)""")
+def nb_constraints(s, d):
+    types = T.product_attrs(s, d, *ATTRS).where("attr_idx = 1")
+    return P.bayes_constraints(T.candidates(s, d), types, T.buys(s, d), 5)
+
+
+@query("""SELECT request_id, product_id, round(mu + swd / sw, 6) AS prediction, round(reliability, 6) AS reliability FROM (SELECT request_id, product_id, any_value(mu) AS mu, sum(w) AS sw, sum(w * ((s + 5 * mu) / (n + 5) - mu)) AS swd, (count(s) + 1) / (count(*) + 1) AS reliability FROM (
+            SELECT request_id, c.product_id, cv.s, cv.n, (k.s + g.s / g.n) / (k.n + 1) AS mu, ln(g.n / (v.n + 1)) * ln(cv.n + 1.1) AS w FROM cands c JOIN attrs a USING (product_id)
+            JOIN (SELECT consumer_id, attr_idx, value, sum(rating) AS s, count(*) AS n FROM buys JOIN attrs USING (product_id) GROUP BY 1, 2, 3) cv ON cv.consumer_id = c.consumer_id AND cv.attr_idx = a.attr_idx AND cv.value = a.value
+            JOIN (SELECT attr_idx, value, count(*) AS n FROM buys JOIN attrs USING (product_id) GROUP BY 1, 2) v ON v.attr_idx = a.attr_idx AND v.value = a.value
+            JOIN (SELECT consumer_id, sum(rating) AS s, count(*) AS n FROM buys JOIN attrs USING (product_id) GROUP BY 1) k ON k.consumer_id = c.consumer_id, (SELECT sum(rating) AS s, count(*) AS n FROM buys JOIN attrs USING (product_id)) g) GROUP BY 1, 2)""")
+def univariate_linear(s, d):
+    return P.univariate_linear(T.candidates(s, d), T.buys(s, d), T.product_attrs(s, d, *ATTRS), 5).select("request_id", "product_id", r6("prediction"), r6("reliability"))
+
+
+@query("SELECT p_partkey AS product_id, round(coalesce(CASE WHEN p_size > 10 THEN p_retailprice END, (SELECT avg(p_retailprice) FROM part WHERE p_size > 10)), 6) AS prediction FROM part")
+def float_attr(s, d):
+    p = T.products(s, d).withColumn("x", F.when(F.col("p_size") > 10, F.col("p_retailprice")))
+    return P.float_attribute(p, "x").select("product_id", r6("prediction"))
+
+
+@query("SELECT request_id, c.product_id, CAST(coalesce(n, 0) AS DOUBLE) AS prediction FROM cands c JOIN part ON c.product_id = p_partkey LEFT JOIN counts k ON k.product_id = p_size", COUNTS)
+def id_substitution(s, d):
+    """Each part is scored as the part that its size names."""
+    ids = T.products(s, d).select("product_id", F.col("p_size").cast("long").alias("other_id"))
+    return P.substituted(T.candidates(s, d), ids, counts(s, d).select("product_id", F.col("n").cast("double").alias("prediction"))).select("request_id", "product_id", "prediction")
+
+
+@query("""SELECT request_id, product_id, CASE WHEN step > 0 THEN coalesce(lower, 0) ELSE prediction END AS prediction FROM (SELECT q.*, coalesce(step, 0) AS step, dr + coalesce(step, 0) AS spot FROM (SELECT *, dense_rank() OVER (PARTITION BY request_id ORDER BY prediction DESC) AS dr FROM scored) q
+            LEFT JOIN (SELECT request_id, c.product_id, sum(n) AS step FROM scored c JOIN attrs a USING (product_id) JOIN neg ON neg.consumer_id = c.consumer_id AND neg.attr_idx = a.attr_idx AND neg.value = a.value GROUP BY 1, 2) USING (request_id, product_id)) z
+          LEFT JOIN (SELECT DISTINCT request_id, dense_rank() OVER (PARTITION BY request_id ORDER BY prediction DESC) AS spot, prediction AS lower FROM scored) l USING (request_id, spot)""",
+    POPULARITY + """neg AS (SELECT consumer_id, attr_idx, value, count(*) AS n FROM buys JOIN attrs USING (product_id) WHERE rating <= 10 GROUP BY 1, 2, 3 HAVING (consumer_id, attr_idx, value) NOT IN (SELECT (consumer_id, attr_idx, value) FROM buys JOIN attrs USING (product_id) WHERE rating >= 90)),
+""")
+def decrease_weight(s, d):
+    b = T.buys(s, d)
+    return P.decrease_by_attribute(popularity(s, d), b.where("rating >= 90"), b.where("rating <= 10"), T.product_attrs(s, d, *ATTRS), 1).select("request_id", "product_id", "prediction")
+
+
+@query()
+def mf_predict(s, d):
+    """Candidates by a factorisation of centred ratings."""
+    model = P.factorisation(T.buys(s, d))
+    return model.transform(T.candidates(s, d)).select("request_id", "product_id", F.coalesce(F.nanvl("prediction", F.lit(None).cast("float")), F.lit(0.0)).cast("double").alias("prediction"))
+
+
+# Hybrids.
+
+
+@query("SELECT request_id, predictor_id, product_id, rank() OVER w - 1 + (count(*) OVER (PARTITION BY request_id, predictor_id, prediction) - 1) / 2 AS midrank FROM scores WINDOW w AS (PARTITION BY request_id, predictor_id ORDER BY prediction)", SCORES)
+def midrank(s, d):
+    return scores(s, d).select("request_id", "predictor_id", "product_id", R.midrank(F.col("prediction"), "request_id", "predictor_id").alias("midrank"))
+
+
+CURVE = SCORES + """k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY request_id, predictor_id) AS n, lag(prediction) OVER w AS before FROM scores WINDOW w AS (PARTITION BY request_id, predictor_id ORDER BY prediction DESC, pos)),
+cp AS (SELECT *, k AS spot, lag(k) OVER (PARTITION BY request_id, predictor_id ORDER BY k) AS prev FROM k WHERE before != prediction),
+curve AS (SELECT k.*, CASE WHEN spot IS NULL THEN 1000 WHEN prev IS NULL OR prev < k.n / 10 THEN greatest(0, 1000 - spot * 500 / (k.n / 10)) ELSE greatest(0, 500 - greatest(0, spot - k.n / 10) * 500 / (k.n - k.n / 10)) END AS points,
+          CASE k.predictor_id WHEN 1 THEN 2.0 ELSE 1.0 END * k.reliability AS wr FROM k ASOF LEFT JOIN cp ON cp.request_id = k.request_id AND cp.predictor_id = k.predictor_id AND cp.spot < k.k),
+"""
+WEIGHTS = {1: 2.0, 2: 1.0, 3: 1.0}
+
+
+@query("SELECT request_id, product_id, round(sum(CASE WHEN prediction > 0 AND points > 0.01 THEN points * wr ELSE 0 END) / sum(wr), 6) AS prediction FROM curve GROUP BY 1, 2", CURVE)
+def combine_by_ranks(s, d):
+    return P.combine_by_ranks(scores(s, d), WEIGHTS).select("request_id", "product_id", r6("prediction"))
+
+
+@query("""SELECT request_id, product_id, round(sum(CASE WHEN prediction > 0 THEN (1000 - coalesce(last, 0)) * wr ELSE 0 END) / sum(wr), 6) AS prediction FROM (SELECT *, max(CASE WHEN before IS NULL OR before != prediction THEN k END)
+          OVER (PARTITION BY request_id, predictor_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM curve) GROUP BY 1, 2""", CURVE)
+def combine_by_ranks_similar(s, d):
+    return P.combine_by_ranks_similar(scores(s, d), WEIGHTS).select("request_id", "product_id", r6("prediction"))
+
+
+@query("SELECT request_id, product_id, sum(CASE predictor_id WHEN 1 THEN 2.0 ELSE 1.0 END * (n + 2 - k)) AS prediction FROM k GROUP BY 1, 2", CURVE)
+def hybrid_sum(s, d):
+    return P.hybrid_sum(scores(s, d), WEIGHTS).select("request_id", "product_id", "prediction")
+
+
+@query("SELECT request_id, product_id, greatest(0, max(prediction)) AS prediction FROM scores GROUP BY 1, 2", SCORES)
+def max_value(s, d):
+    return P.max_value(scores(s, d)).select("request_id", "product_id", "prediction")
+
+
+@query("SELECT request_id, product_id, round(product(pow(prediction, CASE predictor_id WHEN 1 THEN 0.5 WHEN 2 THEN -0.5 ELSE 0.25 END)), 6) AS prediction FROM scores GROUP BY 1, 2", SCORES)
+def multiply_hybrid(s, d):
+    return P.multiply(scores(s, d), {1: 0.5, 2: -0.5, 3: 0.25}).select("request_id", "product_id", r6("prediction"))
+
+
+@query("""SELECT request_id, product_id, n, round(coalesce(p, 0), 6) AS similar FROM cands JOIN counts USING (product_id) LEFT JOIN (SELECT request_id, c.product_id, sum(co / (j.n * sqrt(i.n))) AS p FROM cands c
+          JOIN (SELECT consumer_id, product_id AS j FROM (SELECT *, row_number() OVER (PARTITION BY consumer_id ORDER BY ts DESC, product_id) AS r FROM (SELECT consumer_id, product_id, max(ts_sec) AS ts FROM buys GROUP BY 1, 2)) WHERE r <= 5) h USING (consumer_id)
+          JOIN co ON co.a = c.product_id AND co.b = h.j JOIN counts i ON i.product_id = c.product_id JOIN counts j ON j.product_id = h.j GROUP BY 1, 2) USING (request_id, product_id)""", PAIRS + COUNTS)
+def similar_last_items(s, d):
+    """Popularity, and item-to-item scores with the consumer's last five products as seeds."""
+    b = identified(s, d)
+    last = P.last_distinct(b, ["ts_sec"], 5).select("consumer_id", "product_id")
+    both = P.item_lift(T.candidates(s, d), last, P.cooccurrence(b, NEAR), counts(s, d), 0)
+    return both.join(counts(s, d), "product_id").select("request_id", "product_id", "n", r6("prediction", "similar"))
+
+
+@query("""SELECT request_id, product_id, CAST(n AS DOUBLE) AS prediction FROM cands JOIN counts USING (product_id) JOIN part ON product_id = p_partkey WHERE p_size <= 25 AND (request_id, product_id) NOT IN
+          (SELECT (request_id, c.product_id) FROM cands c JOIN attrs a USING (product_id) JOIN (SELECT consumer_id, attr_idx, value, count(*) AS n FROM buys JOIN attrs USING (product_id) GROUP BY 1, 2, 3) k ON k.consumer_id = c.consumer_id AND k.attr_idx = a.attr_idx AND k.value = a.value GROUP BY request_id, c.product_id HAVING sum(k.n) > 12)""", COUNTS)
+def stick_together(s, d):
+    """Steps in a row on one list: two filters, then popularity."""
+    known = T.known(T.candidates(s, d), T.products(s, d).where("p_size <= 25"))
+    left = FL.frequency_filter(known, T.buys(s, d), T.product_attrs(s, d, *ATTRS), 12)
+    return left.join(counts(s, d), "product_id").select("request_id", "product_id", F.col("n").cast("double").alias("prediction"))
+
+
+# Decisions.
+
+
+def ranked(df, *more):
+    return df.select("request_id", F.col("rank").cast("int").alias("rank"), "product_id", *more)
+
+
+TOP = "CAST(row_number() OVER (PARTITION BY request_id ORDER BY {0} DESC, pos) AS INT) AS rank"
+
+
+@query(f"SELECT * FROM (SELECT request_id, {TOP.format('prediction')}, product_id, prediction FROM scored WHERE prediction >= 25) WHERE rank <= 3", POPULARITY)
+def best_n(s, d):
+    return ranked(D.best_n(popularity(s, d), 25, 3), "prediction")
+
+
+@query(f"SELECT * FROM (SELECT request_id, {TOP.format('prediction - m')}, product_id, prediction FROM scored JOIN (SELECT consumer_id, count(*) AS m FROM buys GROUP BY 1) USING (consumer_id) WHERE prediction >= m) WHERE rank <= 3", POPULARITY)
+def best_prob(s, d):
+    return ranked(D.best_prob(popularity(s, d), T.buys(s, d), 3), "prediction")
+
+
+@query(f"SELECT * FROM (SELECT request_id, {TOP.format('prediction - least(m, 30)')}, product_id, prediction FROM scored JOIN (SELECT consumer_id, sum(rating) / (count(*) + 0.1) AS m FROM buys GROUP BY 1) USING (consumer_id) WHERE prediction >= 30 OR prediction >= m) WHERE rank <= 3", POPULARITY)
+def best_rating(s, d):
+    return ranked(D.best_rating(popularity(s, d), T.buys(s, d), 30, 3), "prediction")
+
+
+def with_size(s, d):
+    return popularity(s, d).join(T.products(s, d).select("product_id", "p_size", "p_retailprice", "title", "p_brand"), "product_id")
+
+
+@query(f"SELECT * FROM (SELECT request_id, {TOP.format('prediction - p_size')}, product_id FROM scored JOIN part ON product_id = p_partkey WHERE prediction >= p_size) WHERE rank <= 3", POPULARITY)
+def largest_offset(s, d):
+    return ranked(D.largest_offset(with_size(s, d), "p_size", 3))
+
+
+@query(f"SELECT * FROM (SELECT request_id, {TOP.format('p_retailprice')}, product_id FROM scored JOIN part ON product_id = p_partkey) WHERE rank <= 3", POPULARITY)
+def popular(s, d):
+    return ranked(D.popular(with_size(s, d), "p_retailprice", 3))
+
+
+@query(f"""SELECT request_id, {TOP.format('prediction')}, product_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY spot) AS turn FROM (SELECT request_id, pos, product_id, prediction, min((k, i)) AS spot FROM (
+             SELECT request_id, pos, product_id, prediction, row_number() OVER (PARTITION BY request_id ORDER BY prediction - 25 DESC, pos) AS k, 0 AS i FROM scored WHERE prediction >= 25
+             UNION ALL SELECT request_id, pos, product_id, prediction, row_number() OVER (PARTITION BY request_id ORDER BY p_retailprice DESC, pos), 1 FROM scored JOIN part ON product_id = p_partkey) WHERE k <= 4 GROUP BY 1, 2, 3, 4)) WHERE turn <= 4""", POPULARITY)
+def hybrid_decision(s, d):
+    return ranked(D.round_robin([D.best_n(popularity(s, d), 25, 4), D.popular(with_size(s, d), "p_retailprice", 4)], 4))
+
+
+@query(f"""SELECT * FROM (SELECT request_id, {TOP.format('p')}, product_id, p AS prediction FROM (SELECT request_id, pos, product_id, sum(w * m) AS p FROM (SELECT *, CASE predictor_id WHEN 1 THEN 2.0 ELSE 1.0 END AS w,
+             rank() OVER (PARTITION BY request_id, predictor_id ORDER BY prediction) - 1 + (count(*) OVER (PARTITION BY request_id, predictor_id, prediction) - 1) / 2 AS m FROM scores) GROUP BY 1, 2, 3)) WHERE rank <= 3""", SCORES)
+def rank_decision(s, d):
+    return ranked(D.by_midranks(scores(s, d), WEIGHTS, 3), "prediction")
+
+
+@query(f"""SELECT * FROM (SELECT request_id, {TOP.format('w')}, product_id, round(w, 6) AS weight FROM (SELECT request_id, pos, product_id, any_value(prediction) * exp(avg(ln(coalesce(c, 0) + 1.0))) AS w FROM scored s JOIN attrs a USING (product_id)
+           LEFT JOIN (SELECT consumer_id, attr_idx, value, count(*) AS c FROM buys JOIN attrs USING (product_id) GROUP BY 1, 2, 3) k ON k.consumer_id = s.consumer_id AND k.attr_idx = a.attr_idx AND k.value = a.value GROUP BY 1, 2, 3)) WHERE rank <= 3""", POPULARITY)
+def attr_freq_decision(s, d):
+    return ranked(D.by_attribute_frequency(popularity(s, d), T.buys(s, d), T.product_attrs(s, d, *ATTRS), 3), r6("weight"))
+
+
+@query(f"""SELECT * FROM (SELECT request_id, {TOP.format('prediction')}, product_id, prediction FROM (SELECT *, row_number() OVER (PARTITION BY request_id, substr(p_name, 1, 7) ORDER BY prediction DESC, pos) AS t FROM scored JOIN part ON product_id = p_partkey) WHERE t = 1) WHERE rank <= 3""", POPULARITY)
+def remove_duplicate_titles(s, d):
+    x = with_size(s, d).withColumn("title_key", S.title_prefix(F.col("title")))
+    return ranked(D.distinct_titles(x, 3), "prediction")
+
+
+@query()
+def remove_duplicates(s, d):
+    """Greedy passes under title and brand caps."""
+    x = with_size(s, d).select("request_id", "pos", "product_id", "prediction", S.title_prefix(F.col("title")).alias("title_key"), F.col("p_brand").alias("tags"))
+    return D.remove_duplicates(x, 3, {"Brand#11": 1, "Brand#12": 1})
+
+
+@query()
+def combine_predictors(s, d):
+    x = scores(s, d).join(T.products(s, d).select("product_id", S.title_prefix(F.col("title")).alias("title_key"), F.col("p_brand").alias("tags")), "product_id")
+    return D.combine_predictors(x, {1: 2, 2: 1}, 4, {"Brand#11": 1})
+
+
+def genres(s, d):
+    return programmes(s, d).withColumn("genres", F.array("p_type", "p_brand"))
+
+
+@query("""SELECT a, b, count(*) AS co FROM (SELECT unnest([p_type, p_brand]) AS a, unnest([p_brand, p_type]) AS b FROM g UNION ALL SELECT x, y FROM adj UNION ALL SELECT y, x FROM adj) WHERE a != b GROUP BY 1, 2""",
+    PROGRAMMES + """g AS (SELECT *, lead(p_type) OVER w AS nt, lead(p_brand) OVER w AS nb FROM programmes WINDOW w AS (PARTITION BY channel ORDER BY begin_ts, product_id, l_orderkey, l_linenumber)),
+adj AS (SELECT x, y FROM (SELECT unnest([p_type, p_type, p_brand, p_brand]) AS x, unnest([nt, nb, nt, nb]) AS y FROM g WHERE nt IS NOT NULL) WHERE x != y),
+""")
+def genre_pairs(s, d):
+    x = genres(s, d).withColumn("product_id", F.struct("product_id", "l_orderkey", "l_linenumber"))
+    return D.genre_cooccurrence(x)[0]
+
+
+@query()
+def virtual_channels(s, d):
+    """Each supplier's programmes of a day as a request: two virtual channels out of them."""
+    pairs, f = D.genre_cooccurrence(genres(s, d))
+    n = {r.a: r.f for r in f.collect()}
+    sim = {(r.a, r.b): r.co / (n[r.a] * n[r.b]) ** 0.5 for r in pairs.collect()}
+    x = genres(s, d).select(F.xxhash64("channel", "begin_ts").alias("request_id"), "product_id", "begin_ts", "end_ts", "genres", (F.col("begin_ts") + 900).alias("now_ts"), (F.col("end_ts") - F.col("begin_ts")).cast("double").alias("prediction"))
+    x = x.withColumn("pos", F.row_number().over(W.partitionBy("request_id").orderBy("product_id", "end_ts")))
+    return D.virtual_channels(x, sim, 2, 6)
+
+
+# Scalars.
+
+
+@query("""SELECT p_partkey AS product_id, substr(p_name, 1, 7) AS prefix, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(capital, '[^a-zA-Z]+')[2:], lambda t: regexp_full_match(t, '[A-Z].{4,}')))), ' ') AS tokens
+          FROM (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS capital FROM part)""")
+def title_tokens(s, d):
+    return T.products(s, d).select("product_id", S.title_prefix(F.col("title")).alias("prefix"), F.array_join(F.array_sort(S.multisplit(F.initcap("title"))), " ").alias("tokens"))
+
+
+@query("SELECT CAST(greatest(0, least(100, trunc(l_quantity * 2 + 1))) AS INT) AS rating, count(*) AS n FROM lineitem GROUP BY 1")
+def rating_formula(s, d):
+    raw = T.table(s, d, "lineitem").select(F.col("l_quantity").cast("string").alias("rating"))
+    return raw.select(S.rating_of("rating * 2 + 1").alias("rating")).groupBy("rating").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CAST(floor(hour(ts) / 4) + CASE WHEN dayofweek(ts) IN (0, 6) THEN 6 ELSE 0 END + 1 AS INT) AS slot, CASE WHEN hour(ts) <= 6 THEN 1 WHEN hour(ts) <= 12 THEN 2 WHEN hour(ts) <= 18 THEN 3 WHEN hour(ts) <= 23 THEN 4 END AS part FROM events")
+def contexts(s, d):
+    at = F.col("ts")
+    return T.table(s, d, "events").select("event_id", S.dayweekhour(at).alias("slot"), S.daytime(at, [6, 12, 18, 23]).alias("part"))
+
+
+@query("""SELECT a.consumer_id, round(len(list_intersect(a.v, b.v)) / len(list_distinct(a.v || b.v)), 6) AS jaccard, round(len(list_intersect(a.v, b.v)) / sqrt(len(a.v) * len(b.v)), 6) AS cosine FROM (SELECT consumer_id, list(DISTINCT value) AS v FROM buys JOIN attrs USING (product_id) WHERE rating > 50 GROUP BY 1) a
+          JOIN (SELECT consumer_id, list(DISTINCT value) AS v FROM buys JOIN attrs USING (product_id) WHERE rating <= 50 GROUP BY 1) b USING (consumer_id)""")
+def set_similarities(s, d):
+    v = T.buys(s, d).join(T.product_attrs(s, d, *ATTRS), "product_id").groupBy("consumer_id").agg(F.collect_set(F.when(F.col("rating") > 50, F.col("value"))).alias("a"), F.collect_set(F.when(F.col("rating") <= 50, F.col("value"))).alias("b"))
+    return v.where((F.size("a") > 0) & (F.size("b") > 0)).select("consumer_id", r6(S.jaccard(F.col("a"), F.col("b")), "jaccard"), r6(S.cosine(F.col("a"), F.col("b")), "cosine"))
+
+
+@query("SELECT p_partkey AS product_id, round(least(abs(p_size - 20) / 90, 1), 6) AS run_time, round(least(abs(2000 + p_size - 2020) * CASE WHEN 2050 - greatest(2000 + p_size, 2020) <= 1 THEN 5 WHEN 2050 - greatest(2000 + p_size, 2020) <= 5 THEN 2 WHEN 2050 - greatest(2000 + p_size, 2020) <= 10 THEN 1.5 ELSE 1 END / 50, 1), 6) AS year FROM part")
+def attr_distance(s, d):
+    p = T.products(s, d)
+    return p.select("product_id", r6(S.run_time_distance(F.col("p_size"), F.lit(20)), "run_time"), r6(S.year_distance(2000 + F.col("p_size"), F.lit(2020), 2050), "year"))
+
+
+@query("""SELECT p_partkey AS product_id, round(CASE WHEN x < 0 THEN 1 - u ELSE u END, 6) AS p FROM (SELECT *, 1 - exp(-x * x / 2) * 0.3989422804014327 * (0.319381530 * t - 0.356563782 * t ** 2 + 1.781477937 * t ** 3 - 1.821255978 * t ** 4 + 1.330274429 * t ** 5) AS u
+          FROM (SELECT p_partkey, (p_size - 25) / 10 AS x, 1 / (1 + 0.2316419 * abs((p_size - 25) / 10)) AS t FROM part))""")
+def cndf(s, d):
+    return T.products(s, d).select("product_id", r6(S.normal_cdf((F.col("p_size") - 25) / 10), "p"))
+
+
+@query("SELECT round(coalesce(avg(l_quantity), 0), 6) AS mean, round(coalesce(stddev_samp(l_quantity), 0), 6) AS std FROM lineitem")
+def mean_std(s, d):
+    return S.mean_and_std(T.table(s, d, "lineitem"), "l_quantity").select(r6("mean"), r6("std"))
+
+
+@query("""SELECT doc_id, term, tf, round(score, 6) AS score FROM (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY score DESC) AS r FROM (SELECT doc_id, term, tf, tf * ln((SELECT count(DISTINCT text) FROM documents) / df) AS score FROM tf JOIN (SELECT term, count(DISTINCT text) AS df FROM tf GROUP BY 1) USING (term) WHERE df >= 5) WHERE score > 0) WHERE r <= 5""",
+    """pos AS (SELECT doc_id, text, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, text, string_split_regex(text, '[^a-zA-Z]+') AS t FROM documents)),
+ok AS (SELECT doc_id, text, i, CASE WHEN regexp_full_match(w, '[A-Z].{3,}') THEN lower(w) END AS w FROM pos),
+tf AS (SELECT doc_id, text, term, count(*) AS tf FROM (SELECT doc_id, text, w AS term FROM ok UNION ALL SELECT a.doc_id, a.text, coalesce(a.w, '') || b.w FROM ok a JOIN ok b ON a.doc_id = b.doc_id AND b.i = a.i + 1) WHERE term IS NOT NULL GROUP BY 1, 2, 3),
+""")
+def tfidf_terms(s, d):
+    return S.tfidf_terms(T.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "term", "tf", r6("score"))
+
+
+# Evaluation: what an order's customer bought, as ranked by popularity, against what was rated well.
+
+
+def lists(s, d):
+    x = popularity(s, d).join(T.buys(s, d).groupBy(F.col("l_orderkey").alias("request_id"), "product_id").agg(F.max("rating").alias("rating")), ["request_id", "product_id"])
+    top = D.select_best(x, F.col("prediction"), 3)
+    rec = top.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "product_id"))), lambda r: r["product_id"]).alias("recommended"))
+    return x.groupBy("request_id").agg(F.collect_list(F.when(F.col("rating") >= 60, F.col("product_id"))).alias("relevant")).join(rec, "request_id")
+
+
+LISTS = POPULARITY + f"""q AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY prediction DESC, pos) AS rank FROM scored JOIN (SELECT l_orderkey AS request_id, product_id, max(rating) >= 60 AS hit FROM buys GROUP BY 1, 2) USING (request_id, product_id)),
+m AS (SELECT request_id, count(*) FILTER (hit) AS relevant, count(*) FILTER (hit AND rank <= 3) AS hits, least(3, count(*)) AS recommended FROM q GROUP BY 1),
+"""
+
+
+@query("SELECT round(avg(hits / recommended), 6) AS precision FROM m", LISTS)
+def eval_precision(s, d):
+    return E.precision(lists(s, d)).select(r6("precision"))
+
+
+@query("SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f FROM (SELECT avg(hits / recommended) AS p, avg(hits / relevant) AS r FROM m WHERE relevant > 0)", LISTS)
+def eval_recall_f(s, d):
+    return E.recall_precision_f(lists(s, d)).select(r6("precision"), r6("recall"), r6("f"))
+
+
+@query("""SELECT round(avg(coalesce(ap, 0)), 6) AS map FROM m LEFT JOIN (SELECT request_id, sum(CASE WHEN hit THEN so_far / rank ELSE 0 END) / max(rank) AS ap FROM (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY request_id ORDER BY rank) AS so_far FROM q WHERE rank <= 3) GROUP BY 1) USING (request_id) WHERE relevant > 0""", LISTS)
+def eval_map(s, d):
+    return E.mean_average_precision(lists(s, d)).select(r6("map"))
+
+
+@query("SELECT round(sqrt(avg((b.rating - p) ** 2)), 6) AS rmse FROM buys b JOIN (SELECT product_id, avg(rating) AS p FROM buys GROUP BY 1) USING (product_id)")
+def eval_rmse(s, d):
+    b = T.buys(s, d)
+    return E.root_mean_squared_error(b.join(b.groupBy("product_id").agg(F.avg("rating").alias("prediction")), "product_id")).select(r6("rmse"))
+
+
+@query("""SELECT CAST(c.i AS INT) AS consumer_bucket, CAST(p.i AS INT) AS product_bucket, count(*) AS n FROM (SELECT consumer_id, count(*) AS nc FROM buys GROUP BY 1) JOIN buys USING (consumer_id) JOIN counts USING (product_id)
+          JOIN (VALUES (0, 0, 20), (1, 20, 50), (2, 50, 10000)) c(i, a, b) ON nc BETWEEN c.a AND c.b JOIN (VALUES (0, 0, 20), (1, 20, 50), (2, 50, 10000)) p(i, a, b) ON n BETWEEN p.a AND p.b GROUP BY 1, 2""", COUNTS)
+def eval_focus_buckets(s, d):
+    b = T.buys(s, d)
+    x = b.join(b.groupBy("consumer_id").agg(F.count("*").alias("nc")), "consumer_id").join(counts(s, d), "product_id")
+    return E.focus_buckets(x.select("nc", "n"), "nc", "n").groupBy("consumer_bucket", "product_bucket").agg(F.count("*").alias("n"))
+
+
+# Streaming: the same tables as streams, run until they have caught up.
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_view_counts(s, d):
+    return ST.view_counts(s, ST.event_stream(s, d))
+
+
+@query(f"""SELECT user_id, k, expiry FROM (SELECT user_id, json_extract_string(props, '$.k') AS k, max(CAST(floor(epoch(ts)) AS BIGINT) + CASE event_type WHEN 'purchase' THEN {20 * DAY} ELSE {5 * DAY} END) AS expiry FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1, 2)
+           WHERE expiry >= (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) FROM events)""")
+def stream_ttl_filter(s, d):
+    """What blocks products of each consumer at the end of the stream."""
+    now = T.table(s, d, "events").agg(F.floor(F.max(F.unix_timestamp(F.col("ts").cast("timestamp")))).alias("now")).first()[0]
+    return ST.blocked_values(s, ST.event_stream(s, d), {"purchase": 20 * DAY, "click": 5 * DAY}).where(F.col("expiry") >= now)
+
+
+# Settings: the operators above by name.
+
+SETTINGS = {
+    "PREDICTOR": "steps", "DECISION": "best", "NOT_RECOMMEND_EVENTS": "",
+    "steps_CLASS": "StickTogether", "steps_PREDICTORS": "rare;views;price;both",
+    "rare_CLASS": "FilterByAttributeFrequency", "rare_THRESHOLD": "30",
+    "views_CLASS": "CountViewsTimeWindow", "views_ID": "1", "views_TIME_WINDOW": "100000000000",
+    "price_CLASS": "FloatAttribute", "price_ID": "2", "price_ATTRIBUTE": "p_retailprice",
+    "both_CLASS": "HybridSum", "both_ID": "0", "both_PREDICTOR_IDS": "1;2", "both_PREDICTION_MULTIPLIERS": "2;1",
+    "best_CLASS": "GetBestNProducts", "best_MIN_PREDICTION": "0",
+}
+
+
+@query(f"""SELECT * FROM (SELECT request_id, {TOP.format('prediction')}, product_id, prediction FROM (SELECT request_id, pos, product_id, 2.0 * (c + 2 - row_number() OVER (PARTITION BY request_id ORDER BY n DESC, pos)) + (c + 2 - row_number() OVER (PARTITION BY request_id ORDER BY p_retailprice DESC, pos)) AS prediction
+           FROM (SELECT *, count(*) OVER (PARTITION BY request_id) AS c FROM cands JOIN counts USING (product_id) JOIN part ON product_id = p_partkey WHERE (request_id, product_id) NOT IN (SELECT (request_id, c.product_id) FROM cands c JOIN attrs a USING (product_id)
+             JOIN (SELECT consumer_id, attr_idx, value, count(*) AS n FROM buys JOIN attrs USING (product_id) GROUP BY 1, 2, 3) k ON k.consumer_id = c.consumer_id AND k.attr_idx = a.attr_idx AND k.value = a.value GROUP BY request_id, c.product_id HAVING sum(k.n) > 30)))) WHERE rank <= 3""", COUNTS)
+def settings_pipeline(s, d):
+    """A tree of operators that settings describe, applied to all requests."""
+    data = Data(T.buys(s, d), T.products(s, d), T.product_attrs(s, d, *ATTRS))
+    return ranked(recommend(Settings(SETTINGS), data, T.candidates(s, d), 3), "prediction")

@@ -1,6 +1,6 @@
 """WARC archives: written by Spark's own text writer, read back by boundary-chain verification.
 
-Writing: a record is a header block, an empty line and the payload; the writer's line separator is the two empty lines
+Writing (gzip files): a record is a header block, an empty line and the payload; the writer's line separator is the two empty lines
 between records. So archives go to whatever store Spark writes to, and no task holds more than a record. Records with equal
 payloads become one response and revisits of it.
 
@@ -9,12 +9,13 @@ one began there. Only the record at the file's start is known to be one; the oth
 there reaches. Pointers are doubled in each round, so a file of n records takes log2(n) rounds, and magic lines inside
 payloads drop out, as nothing reachable ends just before them.
 
-Defined results: null html is empty; repeated rows are records of their own; a null page_id is smaller than any other, and
-of rows that tie on page_id one is the response; an empty table gives an empty result; other columns are passed over.
+Defined results: null html is empty; repeated rows are records of their own; a null page_id is smaller than any other, and of
+rows that tie on page_id one is the response; an empty table gives an empty result; other columns are passed over.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -37,14 +38,14 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """row_id, page_id, url, html, bytes, digest, refers_to (row_id of the response that a revisit stands for, else null), refers_page."""
+    """row_id, page_id, url, html, bytes, digest, refers_to (row_id of the response that a revisit stands for, else null)."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    told = store.table(pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("bytes"), sha1_base32(html).alias("digest")), "digests")
+    told = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(html).cast("long").alias("bytes"), sha1_base32(html).alias("digest"))
     best = F.max(F.struct("page_id", "row_id")).alias("best")
-    copies = store.table(told.where(F.col("bytes") >= least).groupBy("digest").agg(best, F.count("*").alias("n")).where("n > 1"), "responses")
-    other = (F.col("bytes") >= least) & (F.col("row_id") != F.col("best.row_id"))
-    told = told.join(copies, "digest", "left").select("row_id", "bytes", "digest", F.when(other, F.col("best.row_id")).alias("refers_to"), F.when(other, F.col("best.page_id")).alias("refers_page"))
-    return pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html").join(told, "row_id")
+    copies = told.where(F.col("bytes") >= least).groupBy("digest").agg(best, F.count("*").alias("n")).where("n > 1")
+    copies = store.table(copies.select("digest", F.col("best.page_id").alias("best_page"), F.col("best.row_id").alias("best_row")), "responses")
+    other = F.col("best_row").isNotNull() & (F.col("row_id") != F.col("best_row"))
+    return told.join(copies, "digest", "left").select("row_id", "page_id", "url", "html", "bytes", "digest", F.when(other, F.col("best_row")).alias("refers_to"))
 
 
 def _urn(row: Column) -> Column:
@@ -72,7 +73,7 @@ def as_text(recs: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    as_text(records(pages, least)).write.option("lineSep", GAP).option("maxRecordsPerFile", RECORDS).text(path)
+    as_text(records(pages, least)).write.option("lineSep", GAP).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 HEADER = re.compile(rb"WARC/1\.0\r\n(?:[!-9;-~]+:[^\r\n]*\r\n)+\r\n")
@@ -80,10 +81,11 @@ CANDIDATE = "path string, at long, next long, head string, payload binary"
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (path, content): CANDIDATE for each magic line with a header that states a length."""
+    """For mapInArrow over (path, content): CANDIDATE for each magic line with a header that states a length, and one where the file ends, with -1 as its next."""
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows, at = [], content.find(MAGIC)
+            content = gzip.decompress(content)
+            rows, at = [(path, len(content), -1, None, None)], content.find(MAGIC)
             while at >= 0:
                 if m := HEADER.match(content, at):
                     head = m[0].decode("utf-8", "replace")
@@ -116,15 +118,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record: path, at, type, id, page_id, refers_to, digest, payload. Fails where a file does not end with its chain's last record."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     found = files.select("path", "content").mapInArrow(candidates, CANDIDATE)
-    slim = store.table(found.drop("payload"), "candidates")
-    chain = reachable(slim.select("path", "at", "next"))
-    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)\r\n{name}: *([^\r\n]*)", 1), F.lit(""))
-    ends = slim.join(chain, ["path", "at"], "left_semi").groupBy("path").agg(F.max("next").alias("end"))
-    whole = files.select("path", "length").join(ends, "path", "left")
-    if broken := whole.where("end IS NULL OR end != length").select("path").take(1):
+    slim = store.table(found.select("path", "at", "next"), "candidates")
+    chain = store.table(reachable(slim.where("next >= 0")), "chain")
+    ends = slim.where("next >= 0").join(chain, ["path", "at"], "left_semi").groupBy("path").agg(F.max("next").alias("end"))
+    whole = slim.where("next < 0 AND at > 0").join(ends, "path", "left")
+    if broken := whole.where("end IS NULL OR end != at").select("path").take(1):
         raise ValueError(f"{broken[0].path} is no chain of whole records")
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)\r\n{name}: *([^\r\n]*)", 1), F.lit(""))
     row_of = lambda name: F.regexp_extract(field(name), r"lodestar:(\d+)", 1).try_cast("long")
-    return found.join(chain, ["path", "at"], "left_semi").select("path", "at", field("WARC-Type").alias("type"), row_of("WARC-Record-ID").alias("id"), field("X-Page-ID").try_cast("long").alias("page_id"), row_of("WARC-Refers-To").alias("refers_to"), F.regexp_extract(field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("digest"), "payload")
+    return found.where("next >= 0").join(chain, ["path", "at"], "left_semi").select("path", "at", field("WARC-Type").alias("type"), row_of("WARC-Record-ID").alias("id"), field("X-Page-ID").try_cast("long").alias("page_id"), row_of("WARC-Refers-To").alias("refers_to"), F.regexp_extract(field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("digest"), "payload")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:

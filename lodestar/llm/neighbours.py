@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from lodestar.llm import store
 
 BYTES = 32
-ROWS, QUERIES = 1024, 4096  # of a cell
+ROWS, QUERIES = 8192, 1024  # of a cell
 
 
 class Codes:

@@ -6,7 +6,8 @@ small for the other (length filter), and from the first token that both have on
 Pairs that pass are verified on all their tokens. Lines with equal tokens are one node throughout, so copies cost nothing.
 
 Any order that is the same for all lines gives right results; the better it follows rarity, the fewer pairs come up. It
-comes from a table of 2^20 counters, of fixed size whatever the input, which all words are counted in by their hash.
+comes from a table of 2^24 counters, of fixed size whatever the input, which all words are counted in by their hash. Words
+that are alone in their counter are in no other line and are left out of the comparison.
 
 Defined results: lines end at \\n; a line without a word matches nothing and stays; earlier is the smaller doc_id (null
 first), then the earlier row, then the earlier line; a null or empty text has one line, without a word; repeated rows lose
@@ -16,12 +17,14 @@ passed over. Tokens and sets are told apart by 64-bit and 128-bit hashes.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm import store
 from lodestar.llm.exact_dedup import normalised
 
-BITS = 20
+BITS = 24
+ALONE = 33  # the character of a count of one
 
 
 def words(line: Column) -> Column:
@@ -43,14 +46,13 @@ def bucket(token: Column) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> DataFrame:
-    """One row: levels, a character for each bucket that says how often words fall into it (log2)."""
+    """One row: levels, a character for each bucket that says how often words fall into it (twice the log2)."""
     each = lines(docs).select(F.explode(token_set(F.col("line"))).alias("token"))
     counts = each.groupBy(bucket(F.col("token")).alias("bucket")).count()
-    told = counts.select("bucket", F.least(F.lit(60), F.floor(F.log2("count") * 2)).cast("int").alias("level")).toArrow()  # 2^20 rows at most
-    levels = bytearray(b"!" * (1 << BITS))
-    for b, level in zip(told.column(0).to_pylist(), told.column(1).to_pylist(), strict=True):
-        levels[b] = 33 + level
-    return store.table(docs.sparkSession.createDataFrame([(bytes(levels),)], "levels binary"), "rarity")
+    told = counts.select("bucket", F.least(F.lit(60), F.floor(F.log2("count") * 2)).cast("tinyint").alias("level")).toArrow()  # 2^24 rows of 5 bytes at most
+    levels = np.full(1 << BITS, ALONE, dtype=np.uint8)
+    levels[told.column("bucket").to_numpy()] += told.column("level").to_numpy().astype(np.uint8)
+    return store.table(docs.sparkSession.createDataFrame([(levels.tobytes(),)], "levels binary"), "rarity")
 
 
 def by_rarity(tokens: Column, levels: Column) -> Column:
@@ -75,24 +77,25 @@ def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     at = F.struct(F.col("doc_id"), F.col("row_id"), F.col("pos")).alias("at")
     firsts = store.table(told.where("key IS NOT NULL").groupBy("key").agg(F.min(at).alias("at")), "firsts")
 
-    ranked = raw.where("n > 0").withColumn("levels", levels.select("levels").scalar()).select(key_of(F.col("tokens")).alias("key"), "n", by_rarity(F.col("tokens"), F.col("levels")).alias("tokens"))
-    prefix = ranked.select("key", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("n") - need(F.col("n"), percent) + 1)).alias("i", "token"))
+    ranked = raw.where("n > 0").withColumn("levels", levels.select("levels").scalar()).select(F.xxhash64("tokens").alias("k"), "n", by_rarity(F.col("tokens"), F.col("levels")).alias("tokens"))
+    prefix = ranked.select("k", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("n") - need(F.col("n"), percent) + 1)).alias("i", "token"))
+    prefix = prefix.where(F.shiftrightunsigned("token", 56) > ALONE)
     # equal sets are one node: their copies go before they move
-    entries = prefix.groupBy("token", "key", "n", "i").agg(F.lit(1).alias("one")).select("token", "key", "n", (F.col("n") - F.col("i")).alias("ahead"))
-    entries = store.table(entries, "prefixes")
+    entries = prefix.groupBy("token", "k", "n", "i").agg(F.lit(1).alias("one")).select("token", "k", "n", (F.col("n") - F.col("i")).alias("ahead"))
     shared = entries.groupBy("token").count().where("count > 1").select("token")
     entries = store.table(entries.join(shared, "token", "left_semi"), "shared")
-    a, b = (entries.select("token", F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("ahead").alias(f"ahead_{x}")) for x in "ab")
+    a, b = (entries.select("token", F.col("k").alias(f"k_{x}"), F.col("n").alias(f"n_{x}"), F.col("ahead").alias(f"ahead_{x}")) for x in "ab")
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.least("ahead_a", "ahead_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-    pairs = store.table(a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & fits).select("key_a", "key_b").distinct(), "pairs")
+    pairs = store.table(a.join(b, "token").where((F.col("k_a") < F.col("k_b")) & fits).select("k_a", "k_b").distinct(), "pairs")
 
-    asked = pairs.select(F.col("key_a").alias("key")).unionByName(pairs.select(F.col("key_b").alias("key"))).distinct()
-    where = store.table(firsts.join(asked, "key"), "asked")
+    asked = pairs.select(F.col("k_a").alias("k")).unionByName(pairs.select(F.col("k_b").alias("k"))).distinct()
+    where = store.table(firsts.withColumn("k", F.col("key.k1")).join(asked, "k").select("key", "at"), "asked")
     of_rows = where.groupBy(F.col("at.row_id").alias("row_id")).agg(F.collect_set(F.struct(F.col("at.pos").alias("pos"), "key")).alias("asked"))
     texts = docs.select(F.monotonically_increasing_id().alias("row_id"), normalised(F.col("text")).alias("text")).join(of_rows, "row_id")
     split = texts.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("one"))
     sets = store.table(split.select("one.key", token_set(F.element_at("lines", F.col("one.pos") + 1)).alias("tokens")), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("key_a"), F.col("tokens").alias("t_a")), "key_a").join(sets.select(F.col("key").alias("key_b"), F.col("tokens").alias("t_b")), "key_b")
+    side = lambda x: sets.select(F.col("key.k1").alias(f"k_{x}"), F.col("key").alias(f"key_{x}"), F.col("tokens").alias(f"t_{x}"))
+    both = pairs.join(side("a"), "k_a").join(side("b"), "k_b")
     common = F.size(F.array_intersect("t_a", "t_b"))
     linked = both.where(100 * common >= percent * (F.size("t_a") + F.size("t_b") - common)).select("key_a", "key_b")
     linked = store.table(linked.unionByName(linked.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))), "matches")

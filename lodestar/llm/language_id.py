@@ -166,6 +166,7 @@ class Model:
         return lang, score
 
 
+@B.tidy
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over (lang, order, text): (lang, order, places, shares)."""
     for batch in batches:
@@ -209,7 +210,7 @@ def predictor(model: Model, text: int, kept: list[int], names: list[str]):
                 lang, score = model.predict(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(lang, pa.string()), pa.array(score)], names=names)
 
-    return run
+    return B.tidy(run)
 
 
 def identify(docs: DataFrame, per_language: int = 800) -> DataFrame:

@@ -87,7 +87,7 @@ def read_chunks(folds: int):
         if ids:
             yield flush()
 
-    return run
+    return B.tidy(run)
 
 
 def chunk_docs(b: bytes) -> pa.Table:
@@ -112,9 +112,10 @@ def send(blocks: int):
                     pack = B.pack7 if level == 1 else B.pack6
                     yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), chunk)), pa.array(np.full(len(ids), level, dtype=np.int32)), pa.array([pack(keys[x:y]) for x, y in zip(lo, hi, strict=True)]), pa.array([counts[x:y].tobytes() for x, y in zip(lo, hi, strict=True)])], names=["block", "chunk", "level", "hashes", "counts"])
 
-    return run
+    return B.tidy(run)
 
 
+@B.tidy
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over SENT by block: ANSWER, the corpus' counts in the order in which the chunk sent its hashes."""
     for block, rows in by_key(batches, 0).items():
@@ -163,7 +164,7 @@ def traverse(tokens: int, types: int, strength: float):
                 pa.array(np.add.reduceat(np.log10(p1)[stream], first)), pa.array(np.add.reduceat(weight, first)),
             ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return run
+    return B.tidy(run)
 
 
 def score(docs: DataFrame, folds: int = 10, strength: float = 20.0) -> DataFrame:

@@ -93,7 +93,7 @@ def send(k: int, blocks: int):
         if doc_ids:
             yield flush()
 
-    return run
+    return B.tidy(run)
 
 
 def by_key(batches: Iterator[pa.RecordBatch], key: int) -> dict[int, list[tuple]]:
@@ -105,6 +105,7 @@ def by_key(batches: Iterator[pa.RecordBatch], key: int) -> dict[int, list[tuple]
     return out
 
 
+@B.tidy
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over SENT by block: ANSWER, with the n-grams that more than one document holds."""
     for rows in by_key(batches, 0).values():
@@ -140,9 +141,10 @@ def gather(percent: int):
             row_id = (np.int64(chunk) << 16) + np.arange(len(n), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(row_id), meta.column("doc_id").combine_chunks(), meta.column("n").combine_chunks(), meta.column("digest").combine_chunks(), pa.array(prefix), pa.array(tokens, pa.binary())], names=["row_id", "doc_id", "n", "digest", "prefix", "tokens"])
 
-    return run
+    return B.tidy(run)
 
 
+@B.tidy
 def prefix_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over (row_id, n, prefix, tokens): (token, node, n, own, ahead). own: how many n-grams no other document has; ahead: how many shared ones there are from this one on."""
     for batch in batches:
@@ -164,7 +166,7 @@ def verify(percent: int):
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return B.tidy(run)
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

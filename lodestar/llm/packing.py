@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lodestar.llm import store
+from lodestar.llm import blocks as B, store
 
 END = 2
 
@@ -89,7 +89,7 @@ def cut_into_pieces(path: str, capacity: int):
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
 
-    return run
+    return B.tidy(run)
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -147,7 +147,7 @@ def place(runs: list[tuple[int, int, int, int, int]]):
                 seq[at], off[at] = table[k, 2] + rank[at] - table[k, 0], table[k, 3]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return run
+    return B.tidy(run)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:

@@ -323,21 +323,14 @@ state AS (SELECT consumer_id, series, coalesce(arg_max(season, (ts_sec, product_
 """
 
 
-def all_parts(s, d):
-    """A request for each customer and brand's parts that share a size with what the customer bought: every consumer, and the parts of the brands bought."""
-    b = T.buys(s, d).join(episodes(s, d), "product_id").select("consumer_id", "series").distinct()
-    c = b.join(episodes(s, d), "series").withColumn("request_id", F.col("consumer_id"))
-    return c.withColumn("pos", F.row_number().over(W.partitionBy("request_id").orderBy("product_id")))
-
-
 @query(f"""SELECT request_id, product_id, CAST(CASE WHEN recent AND season = ws AND episode = we + 1 THEN 5 WHEN recent AND season = ws THEN 4 WHEN season > ws AND episode = 1 THEN 3 WHEN recent AND season > ws THEN 4 WHEN recent THEN 1 ELSE 0 END AS DOUBLE) AS prediction
-           FROM (SELECT c.consumer_id AS request_id, e.*, ws, we, watched > (SELECT ts FROM last) - {180 * DAY} AS recent, row_number() OVER (PARTITION BY c.consumer_id, e.series ORDER BY season, episode, e.product_id) AS r
-                 FROM state c JOIN eps e USING (series) WHERE NOT (season < ws OR (season = ws AND episode <= we))) WHERE r = 1""", SERIES)
+           FROM (SELECT c.request_id, e.*, ws, we, watched > (SELECT ts FROM last) - {180 * DAY} AS recent, row_number() OVER (PARTITION BY c.request_id, e.series ORDER BY season, episode, pos) AS r
+                 FROM cands c JOIN eps e USING (product_id) JOIN state t ON t.consumer_id = c.consumer_id AND t.series = e.series WHERE NOT (season < ws OR (season = ws AND episode <= we))) WHERE r = 1""", SERIES)
 def series_next_episode(s, d):
-    """For each consumer the next episode of every series (brand) bought."""
+    """For each request the next episode of every series (brand) among its candidates."""
     b = T.buys(s, d).join(episodes(s, d), "product_id")
     now = F.lit(T.buys(s, d).agg(F.max("ts_sec")).first()[0])
-    return FL.series_next(all_parts(s, d), FL.series_state(b, ["ts_sec", "product_id"]), now, 180 * DAY).select("request_id", "product_id", "prediction")
+    return FL.series_next(T.candidates(s, d).join(episodes(s, d), "product_id"), FL.series_state(b, ["ts_sec", "product_id"]), now, 180 * DAY).select("request_id", "product_id", "prediction")
 
 
 @query("SELECT request_id, product_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id, series ORDER BY season DESC, episode DESC, pos) AS r FROM cands JOIN eps USING (product_id)) WHERE r = 1", SERIES)

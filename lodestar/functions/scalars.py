@@ -52,7 +52,7 @@ def rating_of(formula: str | None) -> Column:
     if formula and _FORMULA.sub("", formula):
         raise ValueError(f"no arithmetic over rating: {formula}")
     value = F.expr(re.sub(r"\brating\b", "try_cast(rating AS double)", formula or "rating"))
-    return F.greatest(F.lit(0), F.least(F.lit(100), value.cast("int")))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), value.cast("int"))))
 
 
 def daytime(ts: Column, hours: list[int], first: int = 1) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lodestar.functions import ranks as R, scalars as S
-from lodestar.operators import decisions as D, evaluation as E, events as EV, filters as FL, predictors as P
+from lodestar.operators import decisions as D, evaluation as E, events as EV, filters as FL, popular as POP, predictors as P
 from lodestar.plans.settings import Data, Settings, recommend
 from lodestar.sources import tables as T
 from lodestar.streaming import updates as ST
@@ -90,18 +90,8 @@ POPULARITY = COUNTS + "scored AS (SELECT request_id, pos, consumer_id, product_i
             FROM (SELECT DISTINCT consumer_id FROM buys) CROSS JOIN counts
             WHERE (consumer_id, product_id) NOT IN (SELECT (consumer_id, product_id) FROM buys)) WHERE rank <= 10""", COUNTS)
 def top_unseen_products(s, d):
-    """The ten most bought products that each consumer has not bought.
-
-    A consumer who has bought m products finds ten others among the m + 10 most bought, so the work follows the number of
-    events and not consumers times products.
-    """
-    b = T.buys(s, d).select("consumer_id", "product_id").distinct()
-    order = counts(s, d).repartitionByRange(F.desc("n"), "product_id")
-    ranked = order.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "product_id")))
-    asks = b.groupBy("consumer_id").agg(F.count("*").alias("m")).select("consumer_id", F.explode(F.sequence(F.lit(1), (F.col("m") + 10).cast("int"))).alias("place"))
-    left = asks.join(ranked, "place").join(b, ["consumer_id", "product_id"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("consumer_id").orderBy("place"))
-    return left.withColumn("rank", rank).where("rank <= 10").select("consumer_id", "rank", "product_id", "n")
+    """The ten most bought products that each consumer has not bought."""
+    return POP.most_bought_unseen(T.buys(s, d), 10)
 
 
 @query("SELECT request_id, product_id FROM cands c ANTI JOIN (SELECT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') e ON c.consumer_id = o_custkey AND c.product_id = l_partkey")
@@ -779,6 +769,22 @@ def eval_focus_buckets(s, d):
     return E.focus_buckets(x.select("nc", "n"), "nc", "n").groupBy("consumer_bucket", "product_bucket").agg(F.count("*").alias("n"))
 
 
+
+@query(f"""SELECT round(avg(hits / 10), 6) AS precision, round(avg(hits / relevant), 6) AS recall, round(2 * avg(hits / 10) * avg(hits / relevant) / (avg(hits / 10) + avg(hits / relevant)), 6) AS f FROM (
+             SELECT consumer_id, count(*) AS relevant, count(r.product_id) AS hits FROM (SELECT DISTINCT consumer_id, product_id FROM test) t JOIN (SELECT DISTINCT consumer_id FROM train) USING (consumer_id) LEFT JOIN rec r USING (consumer_id, product_id) GROUP BY 1)""",
+    f"""train AS (SELECT * FROM buys, last WHERE ts_sec <= ts - {365 * DAY}), test AS (SELECT * FROM buys, last WHERE ts_sec > ts - {365 * DAY}),
+rec AS (SELECT * FROM (SELECT consumer_id, product_id, row_number() OVER (PARTITION BY consumer_id ORDER BY n DESC, product_id) AS rank FROM (SELECT DISTINCT consumer_id FROM train) CROSS JOIN (SELECT product_id, count(*) AS n FROM train GROUP BY 1)
+        WHERE (consumer_id, product_id) NOT IN (SELECT (consumer_id, product_id) FROM train)) WHERE rank <= 10),
+""")
+def eval_by_date(s, d):
+    """Fitted on what lies before the last year, measured on that year."""
+    b = T.buys(s, d)
+    train, test = E.split_by_date(b, b.agg(F.max("ts_sec")).first()[0] - 365 * DAY)
+    rec = POP.most_bought_unseen(train, 10).groupBy("consumer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "product_id"))), lambda r: r["product_id"]).alias("recommended"))
+    both = test.groupBy("consumer_id").agg(F.collect_set("product_id").alias("relevant")).join(rec, "consumer_id")
+    return E.recall_precision_f(both).select(r6("precision"), r6("recall"), r6("f"))
+
+
 # Streaming: the same tables as streams, run until they have caught up.
 
 

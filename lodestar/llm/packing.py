@@ -9,7 +9,8 @@ the input), and each task finds its own pieces' places from their ranks. Ranks c
 task ever holds all pieces of a length.
 
 Defined results: a null or empty text is its end token alone; repeated rows are packed each; an empty table gives an
-empty result; columns other than doc_id and text are passed over.
+empty result; columns other than doc_id and text are passed over; an added token of the tokenizer's file, written out in a
+text, is that token.
 """
 
 from __future__ import annotations
@@ -34,20 +35,25 @@ class ByteBpe:
     """Ids of a byte-level BPE in the JSON format of the `tokenizers` library.
 
     The file's vocabulary lists tokens in the order of their merges, so it can drive tiktoken's encoder, which gives the
-    same ids (tests hold them against `tokenizers`) for a fifth of the CPU time.
+    same ids (tests hold them against `tokenizers`) for a fifth of the CPU time. As in the library, the file's added tokens
+    are found in texts unless encode_special_tokens says that they are text like any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, encode_special_tokens: bool = True) -> None:
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            told = json.load(f)
+        vocabulary, added = told["model"]["vocab"], {t["content"]: t["id"] for t in told["added_tokens"]}
+        if strange := [t["content"] for t in told["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+            raise ValueError(f"added tokens that depend on what is around them: {strange}")
         # the format writes a byte as the character of that number if it is printable, else as one from 256 on, in order
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocabulary.items() if t != "<|endoftext|>"}
-        self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocabulary.items() if t not in added}
+        core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)._core_bpe
+        self.encode = core.encode_ordinary if encode_special_tokens else lambda text: core.encode(text, set(added))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit numbers."""
@@ -59,7 +65,7 @@ _tokens: dict[str, ByteBpe] = {}
 
 def tokens_of(path: str) -> ByteBpe:
     if path not in _tokens:
-        _tokens[path] = ByteBpe(path)
+        _tokens[path] = ByteBpe(path, encode_special_tokens=False)
     return _tokens[path]
 
 

@@ -92,6 +92,23 @@ def test_encoder_gives_the_library_s_ids():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_finds_added_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"  \n {end}\n\n x", f"it{end}'s", f"é <|endoftext| > {end[:-1]}", f"<{end}> {'word ' * 700}{end}{'other ' * 700}"]
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        start, size = 0, len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        while start < len(ids):
+            want[i, start, size, zlib.crc32(ids[start : start + size].tobytes())] += 1
+            start, size = start + size, 1024
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.default_tokenizer()).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
 def test_best_fit_runs():
     rng = random.Random(1)
     for _ in range(50):

@@ -31,11 +31,11 @@ def identifier(chunk: Column) -> Column:
     return F.unhex(F.md5(chunk))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
+def recipes(docs: DataFrame, row: Column) -> DataFrame:
     """row_id, doc_id, ids (of the chunks, in order), text_sha256."""
     text = normalised(F.col("text"))
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", F.transform(chunks(text), identifier).alias("ids"), F.sha2(text, 256).alias("text_sha256")
+        row.alias("row_id"), "doc_id", F.transform(chunks(text), identifier).alias("ids"), F.sha2(text, 256).alias("text_sha256")
     )
 
 
@@ -46,9 +46,9 @@ def ambiguous_ids(docs: DataFrame) -> DataFrame:
     return distinct.groupBy("id").count().where("count > 1").select("id")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: row_id, doc_id, keep_id, group_size, kept, text_sha256."""
-    told = store.table(recipes(docs), "recipes")
+def exact_groups(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """One row per row of docs: row_id (row, where docs has lasting numbers), doc_id, keep_id, group_size, kept, text_sha256."""
+    told = store.table(recipes(docs, F.monotonically_increasing_id() if row is None else row), "recipes")
     doubtful = store.table(ambiguous_ids(docs), "ambiguous")
     affected = told.select("row_id", F.explode("ids").alias("id")).join(doubtful, "id", "left_semi").select("row_id").distinct().withColumn("doubt", F.lit(True))
     # A document with an ambiguous identifier is told apart by its whole text's digest as well.
@@ -65,9 +65,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. docs is a scan of files, whose rows have the same numbers each time."""
-    dropped = exact_groups(docs).where("NOT kept").select(F.col("row_id").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(dropped, "_row", "left_anti").drop("_row")
+    """The rows of docs that stay, with all their columns."""
+    docs = store.numbered(docs, "_row")
+    dropped = exact_groups(docs, F.col("_row")).where("NOT kept").select(F.col("row_id").alias("_row"))
+    return docs.join(dropped, "_row", "left_anti").drop("_row")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ def words(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, pos, line (lower-cased)."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
+    """docs: _row, doc_id, text. row_id, doc_id, pos, line (lower-cased)."""
+    numbered = docs.select(F.col("_row").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
     return numbered.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
@@ -70,7 +70,7 @@ def need(n: Column, percent: int) -> Column:
 
 
 def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(lines: row_id, doc_id, pos, key, null without words; firsts: key, at (doc_id, row_id, pos of the first such line), earlier (of the first line that matches it, if before))."""
+    """docs: _row, doc_id, text. (lines: row_id, doc_id, pos, key, null without words; firsts: key, at (doc_id, row_id, pos of the first such line), earlier (of the first line that matches it, if before))."""
     levels = rarity_table(docs)
     raw = lines(docs).withColumn("tokens", token_set(F.col("line"))).withColumn("n", F.size("tokens"))
     told = store.table(raw.select("row_id", "doc_id", "pos", F.when(F.col("n") > 0, key_of(F.col("tokens"))).alias("key")), "lines")
@@ -91,7 +91,7 @@ def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     asked = pairs.select(F.col("k_a").alias("k")).unionByName(pairs.select(F.col("k_b").alias("k"))).distinct()
     where = store.table(firsts.withColumn("k", F.col("key.k1")).join(asked, "k").select("key", "at"), "asked")
     of_rows = where.groupBy(F.col("at.row_id").alias("row_id")).agg(F.collect_set(F.struct(F.col("at.pos").alias("pos"), "key")).alias("asked"))
-    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), normalised(F.col("text")).alias("text")).join(of_rows, "row_id")
+    texts = docs.select(F.col("_row").alias("row_id"), normalised(F.col("text")).alias("text")).join(of_rows, "row_id")
     split = texts.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("one"))
     sets = store.table(split.select("one.key", token_set(F.element_at("lines", F.col("one.pos") + 1)).alias("tokens")), "sets")
     side = lambda x: sets.select(F.col("key.k1").alias(f"k_{x}"), F.col("key").alias(f"key_{x}"), F.col("tokens").alias(f"t_{x}"))
@@ -106,6 +106,11 @@ def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
 
 def removed_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per row of docs: row_id, doc_id, n_lines, n_removed, removed (line numbers from 0, in order)."""
+    return removed_of(store.numbered(docs.select("doc_id", "text"), "_row"), percent)
+
+
+def removed_of(docs: DataFrame, percent: int) -> DataFrame:
+    """removed_lines of docs whose rows have lasting numbers in _row."""
     told, firsts = matches(docs, percent)
     # lines that alone have their key and match nothing before them need no look-up
     many = told.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select("key")
@@ -116,11 +121,12 @@ def removed_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def clean(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs, with all columns, whose texts have lost the lines that match an earlier one. docs is a scan of files, whose rows have the same numbers each time."""
-    gone = removed_lines(docs, percent).where("n_removed > 0").select(F.col("row_id").alias("_row"), F.col("removed").alias("_gone"))
-    both = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left")
+    """docs, with all columns, whose texts have lost the lines that match an earlier one."""
+    columns, docs = docs.columns, store.numbered(docs, "_row")
+    gone = removed_of(docs, percent).where("n_removed > 0").select(F.col("row_id").alias("_row"), F.col("removed").alias("_gone"))
+    both = docs.join(gone, "_row", "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -56,11 +56,11 @@ def _where_full(sums: DataFrame, at: str) -> DataFrame:
     return sums.withColumn("upto", F.sum("size").over(so_far)).where(F.col("upto") > F.col("rest")).groupBy("source").agg(F.min_by(F.struct(F.col(at), (F.col("rest") - F.col("upto") + F.col("size")).alias("left")), at).alias("f")).select("source", F.col(f"f.{at}").alias(f"end_{at}"), F.col("f.left").alias(f"left_{at}"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, seed: int = 7) -> DataFrame:
-    """docs: doc_id, text, source. One row per row: row_id, doc_id, size, source_size, target, taken, copies (taken / size)."""
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, quality: Column | None = None, seed: int = 7, row: Column | None = None) -> DataFrame:
+    """docs: doc_id, text, source. One row per row: row_id (row, where docs has lasting numbers), doc_id, size, source_size, target, taken, copies (taken / size)."""
     size = sizes(F.col("text"))
     base = docs.select(
-        "doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~")).alias("source"), size.alias("size"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row_id"), "doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~")).alias("source"), size.alias("size"),
         (shape_quality(F.length("text"), size) if quality is None else quality).alias("quality"),
         F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.xxhash64("text").alias("tie"),
     )
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     # 1 - exp(-key) has the order of the key = -ln(u) / quality, and lies in [0, 1)
     base = base.withColumn("key", F.lit(1.0) - F.exp(F.log(u) / F.greatest(F.coalesce("quality", F.lit(0.0)), F.lit(1e-3))))
     fine = F.least(F.floor(F.col("key") * RANGES * RANGES), F.lit(RANGES * RANGES - 1))
-    base = store.table(base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", "size", "key", "tie", F.floor(fine / RANGES).cast("int").alias("r1"), (fine % RANGES).cast("int").alias("r2")), "sizes")
+    base = store.table(base.select("row_id", "doc_id", "source", "size", "key", "tie", F.floor(fine / RANGES).cast("int").alias("r1"), (fine % RANGES).cast("int").alias("r2")), "sizes")
 
     per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     named = per_source.withColumn("source", F.when(F.col("source") != "~", F.col("source")))
@@ -100,10 +100,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it. docs is a scan of files, whose rows have the same numbers each time."""
-    taken = mix(docs).where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
-    both = docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """The rows of docs, with all their columns, each as often as the mix takes it."""
+    columns, docs = docs.columns, store.numbered(docs, "_row")
+    taken = mix(docs, row=F.col("_row")).where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    both = docs.join(taken, "_row")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -245,8 +245,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """docs without all but the first row of each component. docs is a scan of files, whose rows have the same numbers each time."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    """docs without all but the first row of each component."""
+    numbered = store.numbered(docs, "_row")
     told = near_groups(numbered.select(F.col("_row").alias("doc_id"), "text"), k, percent)
     dropped = store.table(told.where("component_id != doc_id").select(F.col("doc_id").alias("_row")), "dropped")
     return numbered.join(dropped, "_row", "left_anti").drop("_row")

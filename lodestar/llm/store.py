@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _UNSET = "file:///tmp/checkpoints"
 _written: list[tuple[SparkSession, str]] = []
@@ -41,6 +41,11 @@ def table(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row in the column `name`, written once: numbers that are made anew by each scan follow how it happens to split its files."""
+    return table(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -40,7 +40,8 @@ def sha1_base32(payload: Column) -> Column:
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """row_id, page_id, url, html, bytes, digest, refers_to (row_id of the response that a revisit stands for, else null)."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    told = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(html).cast("long").alias("bytes"), sha1_base32(html).alias("digest"))
+    pages = store.numbered(pages.select("page_id", "url", "html"), "row_id")
+    told = pages.select("row_id", F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(html).cast("long").alias("bytes"), sha1_base32(html).alias("digest"))
     best = F.max(F.struct("page_id", "row_id")).alias("best")
     copies = told.where(F.col("bytes") >= least).groupBy("digest").agg(best, F.count("*").alias("n")).where("n > 1")
     copies = store.table(copies.select("digest", F.col("best.page_id").alias("best_page"), F.col("best.row_id").alias("best_row")), "responses")

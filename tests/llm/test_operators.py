@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import components, exact_dedup, html_text, language_id, line_dedup, lm_scoring, mixing, near_join, neighbours, packing, warc
+from lodestar.llm import components, exact_dedup, html_text, language_id, line_dedup, lm_scoring, mixing, near_join, neighbours, packing, store, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -317,3 +317,27 @@ def test_components(spark):
         top[max(a, b)] = min(a, b)
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect())
     assert all(got[x] == root(x) for a, b in pairs if a != b for x in (a, b))
+
+
+@pytest.mark.parametrize(
+    "work",
+    [exact_dedup.kept_rows, near_join.kept_rows, mixing.mixed_rows, line_dedup.removed_lines, line_dedup.clean, lambda d: warc.round_trip(d.sparkSession, d.selectExpr("doc_id AS page_id", "source AS url", "text AS html"))],
+    ids=["exact", "near", "mixed", "removed_lines", "clean", "warc"],
+)
+def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, monkeypatch, work):
+    path = f"file://{tmp_path}/d"
+    spark.createDataFrame(awkward(), SCHEMA).repartition(12).write.parquet(path)
+    docs, split, write = spark.read.parquet(path), "spark.sql.files.maxPartitionBytes", store.table
+    steady = Counter(tuple(map(str, r)) for r in work(docs).drop("row_id").collect())
+
+    def then_split(df, label, parts=None):
+        out = write(df, label, parts)
+        if label in {"recipes", "dropped", "sizes", "lines", "responses"}:
+            spark.conf.set(split, "1m")  # under the cost of opening a file, so each file is a partition from here on
+        return out
+
+    monkeypatch.setattr(store, "table", then_split)
+    try:
+        assert Counter(tuple(map(str, r)) for r in work(docs).drop("row_id").collect()) == steady
+    finally:
+        spark.conf.unset(split)

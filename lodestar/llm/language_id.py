@@ -222,8 +222,10 @@ def identify(docs: DataFrame, per_language: int = 800) -> DataFrame:
 
 
 def recognised(docs: DataFrame, per_language: int = 800) -> DataFrame:
-    """The rows of docs, with all their columns, whose language can be told."""
+    """The rows of docs, with all their columns, whose language can be told. Where no row teaches a language, those with a letter."""
     model = fit(docs.select("doc_id", "text", "lang"), per_language)
+    if not model.levels[""]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
     told = docs.mapInArrow(predictor(model, docs.columns.index("text"), list(range(len(docs.columns))), schema.names), schema)
     return told.where("_lang_pred != 'und'").drop("_lang_pred", "_lang_score")

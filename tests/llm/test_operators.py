@@ -341,3 +341,9 @@ def test_rows_keep_their_numbers_when_files_are_split_anew(spark, tmp_path, monk
         assert Counter(tuple(map(str, r)) for r in work(docs).drop("row_id").collect()) == steady
     finally:
         spark.conf.unset(split)
+
+
+def test_rows_with_letters_stay_where_no_language_can_be_learned(docs):
+    kept = language_id.recognised(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(row[:2] for row in awkward() if re.search(r"[^\W\d_]", row[1] or ""))

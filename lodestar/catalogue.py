@@ -622,7 +622,7 @@ def rank_decision(s, d):
     return ranked(D.by_midranks(scores(s, d), WEIGHTS, 3), "prediction")
 
 
-@query(f"""SELECT * FROM (SELECT request_id, {TOP.format('w')}, product_id, round(w, 6) AS weight FROM (SELECT request_id, pos, product_id, any_value(prediction) * exp(avg(ln(coalesce(c, 0) + 1.0))) AS w FROM scored s JOIN attrs a USING (product_id)
+@query(f"""SELECT * FROM (SELECT request_id, {TOP.format('w')}, product_id, w AS weight FROM (SELECT request_id, pos, product_id, round(any_value(prediction) * pow(product(coalesce(c, 0) + 1.0), 1.0 / count(*)), 6) AS w FROM scored s JOIN attrs a USING (product_id)
            LEFT JOIN (SELECT consumer_id, attr_idx, value, count(*) AS c FROM buys JOIN attrs USING (product_id) GROUP BY 1, 2, 3) k ON k.consumer_id = s.consumer_id AND k.attr_idx = a.attr_idx AND k.value = a.value GROUP BY 1, 2, 3)) WHERE rank <= 3""", POPULARITY)
 def attr_freq_decision(s, d):
     return ranked(D.by_attribute_frequency(popularity(s, d), T.buys(s, d), T.product_attrs(s, d, *ATTRS), 3), r6("weight"))

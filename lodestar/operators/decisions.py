@@ -13,8 +13,8 @@ RESULT = "request_id long, rank int, product_id long, prediction double"
 
 
 def select_best(scored: DataFrame, weight: Column, n: int | str, seed: int | None = None) -> DataFrame:
-    """The n best by weight, ties by pos; a column may hold n. With a seed each weight is multiplied by a random number."""
-    w = weight if seed is None else weight * F.rand(seed)
+    """The n best by weight, ties by pos; a column may hold n. With a seed each weight is multiplied by a random number, the same for a request and product in each run."""
+    w = weight if seed is None else weight * (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "request_id", "product_id"), 11) / F.lit(float(2**53)))
     ranked = scored.withColumn("_w", w).withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("_w"), "pos")))
     return ranked.where(F.col("rank") <= (F.col(n) if isinstance(n, str) else n)).drop("_w")
 
@@ -64,11 +64,11 @@ def by_midranks(scores: DataFrame, weights: dict[int, float], n: int) -> DataFra
 
 
 def by_attribute_frequency(scored: DataFrame, events: DataFrame, attrs: DataFrame, n: int) -> DataFrame:
-    """Weight: the prediction times the geometric mean of the consumer's counts of the values, each one more."""
+    """Weight: the prediction times the geometric mean of the consumer's counts of the values, each one more; rounded, so that equal weights are ties on any engine."""
     counts = events.join(attrs, "product_id").groupBy("consumer_id", "attr_idx", "value").agg(F.count("*").alias("c"))
     g = scored.select("request_id", "consumer_id", "product_id").join(attrs, "product_id").join(counts, ["consumer_id", "attr_idx", "value"], "left")
-    g = g.groupBy("request_id", "product_id").agg(F.exp(F.avg(F.log(F.coalesce("c", F.lit(0)) + 1.0))).alias("freq"))
-    x = scored.join(g, ["request_id", "product_id"], "left").withColumn("weight", F.col("prediction") * F.coalesce("freq", F.lit(1.0)))
+    g = g.groupBy("request_id", "product_id").agg(F.pow(F.product(F.coalesce("c", F.lit(0)) + 1.0), 1.0 / F.count("*")).alias("freq"))
+    x = scored.join(g, ["request_id", "product_id"], "left").withColumn("weight", F.round(F.col("prediction") * F.coalesce("freq", F.lit(1.0)), 6))
     return select_best(x, F.col("weight"), n)
 
 

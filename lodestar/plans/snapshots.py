@@ -1,15 +1,30 @@
-"""Versions of model tables: a version is written whole, then a pointer is moved to it."""
+"""Versions of model tables: a version is written whole, then a pointer to it appears in one step.
+
+Pointers are numbered files that are never overwritten, so a reader finds either the version before or the one after, and
+a writer that dies leaves the last version in place. A pointer also keeps what its model has read so far (the last event's
+id and time), so that reading goes on from there.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that the cluster shares, spark.checkpoint.dir. A local one only where all runs in one process; on a cluster each executor would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = of_context.get() if of_context.isDefined() else None
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
+        found = "file:///tmp/checkpoints"
+    return found.rstrip("/")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -17,20 +32,50 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def save(df: DataFrame, path: str) -> str:
-    """Writes a new version and points to it. An earlier version stays readable until then, and when writing fails."""
-    version = f"v-{uuid.uuid4().hex}"
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, path) of the pointers there are, the latest last."""
+    fs, at = _fs(spark, f"{path}/pointers")
+    if not fs.exists(at):
+        return []
+    names = [f.getPath() for f in fs.listStatus(at)]
+    return sorted((int(p.getName()), p.toString()) for p in names if p.getName().isdigit())
+
+
+def _read(spark: SparkSession, pointer: str) -> dict:
+    return json.loads("\n".join(r[0] for r in spark.read.text(pointer).collect()))
+
+
+def save(df: DataFrame, path: str, read_up_to: dict | None = None, keep: int = 2) -> str:
+    """Writes a new version and points to it; read_up_to goes with it. Versions before the last `keep` are removed."""
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    fs, new = _fs(df.sparkSession, f"{path}/CURRENT.tmp")
-    out = fs.create(new, True)
-    out.write(version.encode())
+    fs, draft = _fs(spark, f"{path}/draft-{version}")
+    out = fs.create(draft, True)
+    out.write(json.dumps({"version": version, "read_up_to": read_up_to or {}}).encode())
     out.close()
-    _, current = _fs(df.sparkSession, f"{path}/CURRENT")
-    fs.delete(current, False)
-    fs.rename(new, current)
+    fs.mkdirs(_fs(spark, f"{path}/pointers")[1])
+    earlier = _pointers(spark, path)
+    number, placed = earlier[-1][0] + 1 if earlier else 0, False
+    while not placed:
+        pointer = _fs(spark, f"{path}/pointers/{number:020d}")[1]
+        taken = fs.exists(pointer)  # by another writer
+        placed = not taken and fs.rename(draft, pointer)
+        if not placed and not taken and not fs.exists(pointer):
+            raise OSError(f"no pointer can be written in {path}")
+        number += 1
+    for _, pointer in earlier[: max(0, len(earlier) + 1 - keep)]:
+        fs.delete(_fs(spark, f"{path}/{_read(spark, pointer)['version']}")[1], True)
+        fs.delete(_fs(spark, pointer)[1], False)
     return version
 
 
+def current(spark: SparkSession, path: str) -> dict:
+    """The latest pointer: version and read_up_to."""
+    pointers = _pointers(spark, path)
+    if not pointers:
+        raise FileNotFoundError(f"no version in {path}")
+    return _read(spark, pointers[-1][1])
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{version}")
+    return spark.read.parquet(f"{path}/{current(spark, path)['version']}")

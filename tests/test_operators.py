@@ -128,6 +128,16 @@ def test_snapshots(spark, tmp_path):
     before = snapshots.load(spark, path)
     snapshots.save(spark.range(5).toDF("x"), path)
     assert (before.count(), snapshots.load(spark, path).count()) == (3, 5)
+    snapshots.save(spark.range(7).toDF("x"), path, {"event_id": 41})
+    assert snapshots.current(spark, path)["read_up_to"] == {"event_id": 41} and snapshots.load(spark, path).count() == 7
+    assert len(list(tmp_path.glob("m/v-*"))) == len(list(tmp_path.glob("m/pointers/0*"))) == 2
+    with pytest.raises(FileNotFoundError):
+        snapshots.load(spark, f"file://{tmp_path}/none")
+
+
+def test_random_selection_is_the_same_in_each_run(spark, scored):
+    chosen = [sorted(map(tuple, decisions.select_best(scored.repartition(n), F.col("prediction"), 3, seed=5).collect())) for n in (1, 7)]
+    assert chosen[0] == chosen[1] and len({r[0] for r in chosen[0]}) == scored.select("request_id").distinct().count()
 
 
 def test_measures(spark):

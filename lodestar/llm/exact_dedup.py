@@ -17,8 +17,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normalised(text: Column) -> Column:
-    """Lower case for A-Z only; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower case for A-Z only; null is empty. Texts of ASCII alone go the shorter way."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def chunks(text: Column, least: int = 512, most: int = 4096) -> Column:

@@ -1,133 +1,234 @@
 """Removing lines that match an earlier line: an exact set-similarity join, in DataFrame functions alone.
 
 A line's tokens are its distinct words, hashed and ordered by rarity. Two lines match if the Jaccard similarity of their
-tokens reaches the threshold; then they have a token in common among the first few of each (prefix filter), neither is too
-small for the other (length filter), and from the first token that both have on enough is left of each (positional filter).
-Pairs that pass are verified on all their tokens. Lines with equal tokens are one node throughout, so copies cost nothing.
+tokens reaches the threshold; then both have one of their first few tokens in common (prefix filter), neither is too small
+for the other (length filter), and enough is left of each from there on (positional filter), so much that, one more token
+allowed before it, two tokens of that kind are common (`needed`). Pairs that pass are verified on all their words.
+
+Lines with equal tokens are one node throughout, so copies cost nothing. A line goes if any earlier line matches it, so one
+match is enough: tokens of many lines first offer each line the earliest lines of their lists, and lines that go by those
+ask for no other match. What is left meets all earlier lines of its lists.
 
 Any order that is the same for all lines gives right results; the better it follows rarity, the fewer pairs come up. It
 comes from a table of 2^24 counters, of fixed size whatever the input, which all words are counted in by their hash. Words
 that are alone in their counter are in no other line and are left out of the comparison.
 
 Defined results: lines end at \\n; a line without a word matches nothing and stays; earlier is the smaller doc_id (null
-first), then the earlier row, then the earlier line; a null or empty text has one line, without a word; repeated rows lose
-all their lines with words to the first; an empty table gives an empty result; columns other than doc_id and text are
-passed over. Tokens and sets are told apart by 64-bit and 128-bit hashes.
+first), then the smaller hash of the text, then the earlier line; a null or empty text has one line, without a word; of
+rows alike in doc_id and text all but one lose all lines with words; an empty table gives an empty result; columns other
+than doc_id and text are passed over. Tokens, texts and sets are told apart by 64-bit, 64-bit and 128-bit hashes.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm import store
 from lodestar.llm.exact_dedup import normalised
 
-BITS = 24
+BITS, PAGE = 24, 10  # of the counters' number; of the counters of a page
 ALONE = 33  # the character of a count of one
-
-
-def words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+MANY = 12  # twice the log2 of the occurrences from which on a token's earliest lines come first
+SALTS = 8  # parts of such a token's list, each with its own earliest line
+FILTER = 18  # log2 of the 64-bit words of a filter
+NULL_ID = -(1 << 63)
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """docs: _row, doc_id, text. row_id, doc_id, pos, line (lower-cased)."""
-    numbered = docs.select(F.col("_row").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
-    return numbered.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """doc_id, text_hash, pos, line (lower-cased)."""
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), normalised(F.col("text")).alias("text"))
+    return told.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def token_set(line: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))))
+def words(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.split(line, WHITE)), "")
 
 
 def bucket(token: Column) -> Column:
     return F.shiftrightunsigned(token, 64 - BITS).cast("int")
 
 
+def in_order(entries: Column, at: str, value, blank) -> Column:
+    """entries (structs, sorted by the whole number `at`): the value of each, behind as many blanks as there are numbers missing before it."""
+    before = lambda i: F.when(i > 0, F.element_at(entries, i)[at]).otherwise(-1)
+    return F.transform(entries, lambda x, i: blank(x[at] - before(i) - 1, value(x)))
+
+
 def rarity_table(docs: DataFrame) -> DataFrame:
-    """One row: levels, a character for each bucket that says how often words fall into it (twice the log2)."""
-    each = lines(docs).select(F.explode(token_set(F.col("line"))).alias("token"))
-    counts = each.groupBy(bucket(F.col("token")).alias("bucket")).count()
-    told = counts.select("bucket", F.least(F.lit(60), F.floor(F.log2("count") * 2)).cast("tinyint").alias("level")).toArrow()  # 2^24 rows of 5 bytes at most
-    levels = np.full(1 << BITS, ALONE, dtype=np.uint8)
-    levels[told.column("bucket").to_numpy()] += told.column("level").to_numpy().astype(np.uint8)
-    return store.table(docs.sparkSession.createDataFrame([(levels.tobytes(),)], "levels binary"), "rarity")
+    """One row: levels, a byte for each counter that says how many words fall into it (twice the log2, after ALONE)."""
+    each = docs.select(F.explode(F.split(normalised(F.col("text")), WHITE)).alias("word")).where("word != ''")
+    counts = each.groupBy(bucket(F.xxhash64("word")).alias("bucket")).count().where("count > 1")
+    level = F.char(F.least(F.lit(60), F.floor(F.log2("count") * 2)) + ALONE)
+    entry = F.struct(F.col("bucket").bitwiseAND((1 << PAGE) - 1).alias("at"), level.alias("value"))
+    pad = lambda wide: lambda n, s: F.concat(F.repeat(F.lit(chr(ALONE) * wide), n), s)
+    joined = lambda c, wide: F.array_join(in_order(F.col(c), "at", lambda x: x["value"], pad(wide)), "")
+    pages = counts.groupBy(F.shiftright("bucket", PAGE).alias("at")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    pages = pages.select("at", F.rpad(joined("entries", 1), 1 << PAGE, chr(ALONE)).alias("value"))
+    whole = pages.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("pages"))  # 2^14 pages at most
+    return store.table(whole.select(F.rpad(joined("pages", 1 << PAGE), 1 << BITS, chr(ALONE)).cast("binary").alias("levels")), "rarity")
+
+
+def by_rarity(words: Column, levels: Column) -> Column:
+    """words as numbers in the order of their rarity: the level in front, then the upper bits of the hash."""
+
+    def number(word: Column) -> Column:
+        h = F.xxhash64(word)
+        level = F.ascii(F.substring(levels, bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.sort_array(F.transform(words, number))
+
+
+def level_of(token: Column) -> Column:
+    return F.shiftrightunsigned(token, 56)
+
+
+def least_overlap(n: Column, percent: int) -> Column:
+    """How many of n tokens must be common with any line that matches."""
+    return F.floor((n * percent + 99) / 100).cast("int")
+
 
+def pair_overlap(n: Column, m: Column, percent: int) -> Column:
+    """How many tokens two matching lines of n and m have in common."""
+    return F.floor(((n + m) * percent + 99 + percent) / (100 + percent)).cast("int")
 
-def by_rarity(tokens: Column, levels: Column) -> Column:
-    """tokens as numbers in the order of their rarity: the level in front, then the upper bits of the hash."""
-    level = lambda t: F.ascii(F.substring(levels, bucket(t) + 1, F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(level(t), 56).bitwiseOR(F.shiftrightunsigned(t, 8))))
 
+def entries_of(nodes: DataFrame, percent: int, *more: Column) -> DataFrame:
+    """nodes: k1, n, at, prefix. token, k, n, doc, ahead (tokens of the line from this one on) of each token of a prefix."""
+    each = nodes.select(F.col("k1").alias("k"), "n", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc"), *more, F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "token"))
+    return each.withColumn("ahead", least_overlap(F.col("n"), percent) - 1 + F.col("size") - F.col("i")).drop("i", "size")
 
-def key_of(tokens: Column) -> Column:
-    return F.struct(F.xxhash64(tokens).alias("k1"), F.xxhash64(F.lit(1), tokens).alias("k2"))
 
+def needed(percent: int) -> tuple[Column, Column]:
+    """(whether a common token of a and b counts, how many such ones there must be).
 
-def need(n: Column, percent: int) -> Column:
-    return F.ceil(n * percent / 100.0 - 1e-9).cast("int")
+    If the overlap is o, the first common token has o tokens from it on in both lines, the second o - 1, and so forth. So of
+    tokens with at least `least` ahead, o - least + 1 are common. Prefixes hold all of them, as they reach to least_overlap.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    both = pair_overlap(a("n"), b("n"), percent)
+    least = F.greatest(both - 1, least_overlap(a("n"), percent), least_overlap(b("n"), percent))
+    alike = (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & (F.least(a("ahead"), b("ahead")) >= least)
+    return alike, both - least + 1
+
+
+def counted(joined: DataFrame, need: Column) -> DataFrame:
+    """The pairs (a, b) that have as many common tokens as they need, with their count."""
+    each = joined.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), need.alias("need"))
+    return each.groupBy("a", "b", "need").count().where("count >= need").drop("need")
+
+
+def first_offers(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for lines b with frequent tokens, the one with most in common of the earliest lines a in those tokens' lists."""
+    hot = entries_of(nodes, percent).where(level_of(F.col("token")) >= ALONE + MANY).withColumn("salt", F.pmod("k", F.lit(SALTS)))
+    leaders = hot.groupBy("token", "salt").agg(F.min(F.struct("doc", "k", "n", "ahead")).alias("first")).select("token", "salt", "first.*")
+    alike, need = needed(percent)
+    met = hot.alias("b").join(leaders.alias("a"), (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.k") != F.col("b.k")) & alike)
+    return counted(met, need).groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+
+def all_offers(nodes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all lines a not after b that can match b, for the lines b that are not settled yet."""
+    known = nodes.join(settled.select("k1", "k2", F.lit(0).alias("asks")), ["k1", "k2"], "left").withColumn("asks", F.coalesce("asks", F.lit(1)))
+    entries = entries_of(known, percent, F.col("asks"))
+    alike, need = needed(percent)
+    # greatest() only says that b asks. It names both sides, so they stay one shuffle: a filter of one side would make them two.
+    asks = F.greatest(F.col("b.asks"), F.col("a.asks") - 1) == 1
+    met = entries.alias("a").join(entries.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.k") != F.col("b.k")) & (F.col("a.doc") <= F.col("b.doc")) & asks & alike)
+    return counted(met, need).select("a", "b")
+
+
+def bit_of(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, FILTER).bitwiseAND(63).cast("int"))
+
+
+def hash_filter(keys: DataFrame, h: Column) -> DataFrame:
+    """One row: filter, 2^24 bits (of fixed size; it lets more through the more keys there are), set where h of a key points to."""
+    found = keys.groupBy(h.bitwiseAND((1 << FILTER) - 1).cast("int").alias("at")).agg(F.bit_or(bit_of(h)).alias("value"))
+    zero = F.lit(0).cast("long")
+    found = found.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("entries"))
+    return found.select(F.flatten(in_order(F.col("entries"), "at", lambda x: x["value"], lambda n, v: F.concat(F.array_repeat(zero, n), F.array(v)))).alias("filter"))
+
+
+def passes(bits: Column, h: Column) -> Column:
+    word = F.get(bits, h.bitwiseAND((1 << FILTER) - 1).cast("int"))
+    return F.coalesce(word.bitwiseAND(bit_of(h)) != 0, F.lit(False))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(k1, k2) of the lines b that match their a, if a is earlier. The words are read where the lines were first found."""
+    asked = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
+    place = lambda doc: F.xxhash64(F.coalesce(doc, F.lit(NULL_ID)), "text_hash", "pos")
+    asked = nodes.select("k1", "k2", "at").join(asked, "k1", "left_semi")
+    asked = store.table(asked.select("k1", "k2", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc"), "at.text_hash", "at.pos"), "asked")
+    bits = store.table(hash_filter(asked, place(F.col("doc"))), "filter")
+    here = lines(docs).where(passes(bits.scalar(), place(F.col("doc_id")))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text_hash", "pos", "line")
+    sets = here.join(asked, ["doc", "text_hash", "pos"]).groupBy("k1", "k2", "doc", "text_hash", "pos").agg(F.first("line").alias("line"))
+    sets = store.table(sets.select("k1", "k2", F.struct("doc", "text_hash", "pos").alias("at"), F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("tokens")), "sets")
+    side = lambda x: sets.select(F.col("k1").alias(x), F.col("k2").alias(f"k2_{x}"), F.col("at").alias(f"at_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("at_a < at_b")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    match = 100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)
+    out = store.table(both.where(match).select(F.col("b").alias("k1"), F.col("k2_b").alias("k2")).distinct(), "matched")
+    store.release(asked, bits, sets)
+    return out
 
 
 def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """docs: _row, doc_id, text. (lines: row_id, doc_id, pos, key, null without words; firsts: key, at (doc_id, row_id, pos of the first such line), earlier (of the first line that matches it, if before))."""
+    """docs: doc_id, text. (lines: doc_id, text_hash, pos, k1, k2 (null without words); nodes that some line goes for: k1, k2, at (the first line's place), gone (whether that goes too))."""
     levels = rarity_table(docs)
-    raw = lines(docs).withColumn("tokens", token_set(F.col("line"))).withColumn("n", F.size("tokens"))
-    told = store.table(raw.select("row_id", "doc_id", "pos", F.when(F.col("n") > 0, key_of(F.col("tokens"))).alias("key")), "lines")
-    at = F.struct(F.col("doc_id"), F.col("row_id"), F.col("pos")).alias("at")
-    firsts = store.table(told.where("key IS NOT NULL").groupBy("key").agg(F.min(at).alias("at")), "firsts")
-
-    ranked = raw.where("n > 0").withColumn("levels", levels.select("levels").scalar()).select(F.xxhash64("tokens").alias("k"), "n", by_rarity(F.col("tokens"), F.col("levels")).alias("tokens"))
-    prefix = ranked.select("k", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("n") - need(F.col("n"), percent) + 1)).alias("i", "token"))
-    prefix = prefix.where(F.shiftrightunsigned("token", 56) > ALONE)
-    # equal sets are one node: their copies go before they move
-    entries = prefix.groupBy("token", "k", "n", "i").agg(F.lit(1).alias("one")).select("token", "k", "n", (F.col("n") - F.col("i")).alias("ahead"))
-    shared = entries.groupBy("token").count().where("count > 1").select("token")
-    entries = store.table(entries.join(shared, "token", "left_semi"), "shared")
-    a, b = (entries.select("token", F.col("k").alias(f"k_{x}"), F.col("n").alias(f"n_{x}"), F.col("ahead").alias(f"ahead_{x}")) for x in "ab")
-    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.least("ahead_a", "ahead_b") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-    pairs = store.table(a.join(b, "token").where((F.col("k_a") < F.col("k_b")) & fits).select("k_a", "k_b").distinct(), "pairs")
-
-    asked = pairs.select(F.col("k_a").alias("k")).unionByName(pairs.select(F.col("k_b").alias("k"))).distinct()
-    where = store.table(firsts.withColumn("k", F.col("key.k1")).join(asked, "k").select("key", "at"), "asked")
-    of_rows = where.groupBy(F.col("at.row_id").alias("row_id")).agg(F.collect_set(F.struct(F.col("at.pos").alias("pos"), "key")).alias("asked"))
-    texts = docs.select(F.col("_row").alias("row_id"), normalised(F.col("text")).alias("text")).join(of_rows, "row_id")
-    split = texts.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("one"))
-    sets = store.table(split.select("one.key", token_set(F.element_at("lines", F.col("one.pos") + 1)).alias("tokens")), "sets")
-    side = lambda x: sets.select(F.col("key.k1").alias(f"k_{x}"), F.col("key").alias(f"key_{x}"), F.col("tokens").alias(f"t_{x}"))
-    both = pairs.join(side("a"), "k_a").join(side("b"), "k_b")
-    common = F.size(F.array_intersect("t_a", "t_b"))
-    linked = both.where(100 * common >= percent * (F.size("t_a") + F.size("t_b") - common)).select("key_a", "key_b")
-    linked = store.table(linked.unionByName(linked.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))), "matches")
-    earlier = linked.join(firsts.select(F.col("key").alias("key_b"), F.col("at").alias("other")), "key_b").groupBy(F.col("key_a").alias("key")).agg(F.min("other").alias("other"))
-    firsts = firsts.join(earlier, "key", "left").select("key", "at", F.when(F.col("other") < F.col("at"), F.col("other")).alias("earlier"))
-    return told, store.table(firsts, "firsts")
+    raw = lines(docs).withColumn("levels", levels.scalar())
+    raw = raw.select("doc_id", "text_hash", "pos", by_rarity(words(F.col("line")), F.col("levels")).alias("tokens")).withColumn("n", F.size("tokens"))
+    key = lambda seed: F.when(F.col("n") > 0, F.xxhash64(F.lit(seed), "tokens"))
+    # alone tokens stand first; they cannot be common
+    prefix = F.filter(F.slice("tokens", F.lit(1), F.col("n") - least_overlap(F.col("n"), percent) + 1), lambda t: level_of(t) > ALONE)
+    raw = store.table(raw.select("doc_id", "text_hash", "pos", key(0).alias("k1"), key(1).alias("k2"), "n", prefix.alias("prefix")), "raw")
+    store.release(levels)
+    told = store.table(raw.select("doc_id", "text_hash", "pos", "k1", "k2"), "lines")
+    place = F.min(F.struct("doc_id", "text_hash", "pos")).alias("at")
+    nodes = raw.where("n > 0").groupBy("k1", "k2").agg(place, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = store.table(nodes, "nodes")
+    store.release(raw)
+    offers = store.table(first_offers(nodes, percent), "offers")
+    settled = verified(offers, nodes, docs, percent)
+    store.release(offers)
+    offers = store.table(all_offers(nodes, settled, percent), "offers")
+    gone = store.table(settled.unionByName(verified(offers, nodes, docs, percent)).withColumn("gone", F.lit(True)), "gone")
+    looked = nodes.select("k1", "k2", "at", "copies").join(gone, ["k1", "k2"], "left").where("gone OR copies > 1")
+    looked = store.table(looked.select("k1", "k2", "at", F.coalesce("gone", F.lit(False)).alias("gone")), "looked")
+    store.release(offers, nodes, settled, gone)
+    return told, looked
 
 
 def removed_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per row of docs: row_id, doc_id, n_lines, n_removed, removed (line numbers from 0, in order)."""
-    return removed_of(store.numbered(docs.select("doc_id", "text"), "_row"), percent)
-
-
-def removed_of(docs: DataFrame, percent: int) -> DataFrame:
-    """removed_lines of docs whose rows have lasting numbers in _row."""
-    told, firsts = matches(docs, percent)
-    # lines that alone have their key and match nothing before them need no look-up
-    many = told.where("key IS NOT NULL").groupBy("key").count().where("count > 1").select("key")
-    looked = store.table(firsts.join(many.withColumn("many", F.lit(True)), "key", "left").where("many OR earlier IS NOT NULL").select("key", "at", "earlier"), "looked")
-    each = told.join(looked, "key", "left")
-    gone = F.col("at").isNotNull() & (F.col("earlier").isNotNull() | (F.col("at.row_id") != F.col("row_id")) | (F.col("at.pos") != F.col("pos")))
-    return each.groupBy("row_id", "doc_id").agg(F.count("*").alias("n_lines"), F.count_if(gone).alias("n_removed"), F.sort_array(F.collect_list(F.when(gone, F.col("pos")))).alias("removed"))
+    """One row per row of docs: doc_id, text_hash, copy (from 1, of rows alike), n_lines, n_removed, removed (line numbers from 0, in order)."""
+    told, looked = matches(docs.select("doc_id", "text"), percent)
+    each = told.join(looked, ["k1", "k2"], "left")
+    first = F.col("at.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("at.text_hash") == F.col("text_hash")) & (F.col("at.pos") == F.col("pos"))
+    goes = F.col("at").isNotNull() & (F.col("gone") | ~first)
+    of = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("pos"))))
+    rows = each.groupBy("doc_id", "text_hash").agg(F.count_if(F.col("pos") == 0).alias("copies"), F.count("*").alias("all_lines"), of(goes).alias("first"), of(F.col("k1").isNotNull()).alias("worded"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).withColumn("removed", F.when(F.col("copy") == 1, F.col("first")).otherwise(F.col("worded")))
+    return rows.select("doc_id", "text_hash", "copy", (F.col("all_lines") / F.col("copies")).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def clean(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs, with all columns, whose texts have lost the lines that match an earlier one."""
-    columns, docs = docs.columns, store.numbered(docs, "_row")
-    gone = removed_of(docs, percent).where("n_removed > 0").select(F.col("row_id").alias("_row"), F.col("removed").alias("_gone"))
-    both = docs.join(gone, "_row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*columns)
+    """docs, with all columns, whose texts have lost the lines that match an earlier one. Of rows alike in doc_id and text it is left open which keeps its lines."""
+    from pyspark.sql import Window as W
+
+    columns, row = docs.columns, store.free_name(docs, "_row")
+    docs = store.numbered(docs, row)
+    mine = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    mine = mine.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("row")).cast("long"))
+    gone = removed_lines(docs, percent).where("n_removed > 0").alias("g")
+    on = F.col("g.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("g.text_hash") == F.col("m.text_hash")) & (F.col("g.copy") == F.col("m.copy"))
+    lost = store.table(mine.alias("m").join(gone, on).select(F.col("m.row").alias("row"), F.col("g.removed").alias("removed")), "dropped")
+    both = docs.alias("d").join(lost.alias("l"), F.col(f"d.{row}") == F.col("l.row"), "left")
+    kept = F.array_join(F.filter(F.split("d.text", "\n"), lambda line, i: ~F.array_contains("l.removed", i)), "\n")
+    text = F.when(F.col("l.row").isNull(), F.col("d.text")).otherwise(kept).alias("text")
+    return both.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in columns])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return removed_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("row_id")
+    return removed_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "copy")

@@ -7,17 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_UNSET = "file:///tmp/checkpoints"
-_written: list[tuple[SparkSession, str]] = []
-
+from lodestar.plans.snapshots import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = of_context.get() if of_context.isDefined() else _UNSET
-    return found.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -33,12 +25,31 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def table(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
-    """df written as Parquet, in so many parts if told, and read again. It stays until the session's process ends: results are lazy and may read it at any time."""
+    """df written as Parquet, in so many parts if told, and read again. It stays until it is released or the session's process ends: results are lazy and may read it at any time."""
     spark = df.sparkSession
     df = df if parts is None else df.coalesce(parts)
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestar_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables (as `table` returned them) that no lazy result reads any more, and lets Spark remove the shuffle files of what has run."""
+    for t in tables:
+        drop(t.sparkSession, t._lodestar_path)
+        _written.remove((t.sparkSession, t._lodestar_path))
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffles go when their plans are collected, else by spark.cleaner.periodicGC.interval
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores in front as many as no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ pages, three different ones at least, is template. What a page holds in such slo
 to be no content (fixed values below); where a page declares its article, only that is content.
 
 Defined results: null html or a page without text gives an empty text; pages with a null url or without a host are read by
-their markup alone; repeated rows count once as pages of their host; an empty table gives an empty result; columns other
+their markup alone; repeated rows count once as pages of their host; malformed markup is read as HTML reads it, and blocks
+nested deeper than DEPTH keep their text, in order, as blocks of that depth; an empty table gives an empty result; columns other
 than page_id, url and html are passed over.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -35,6 +36,7 @@ NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|com
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu".split())
 MIN_PAGES = 3
+DEPTH = 200  # of blocks; what is nested deeper stands side by side there, so that trees can be gone through by recursion
 
 
 class Node:
@@ -50,8 +52,36 @@ class Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("")
-        self.open: list[tuple[str, Node]] = [("", self.root)]
+        self.open: list[tuple[str, Node, Node | None]] = []  # (tag, block, the block at the depth limit if it is deeper)
+        self.places: dict[str, list[int]] = {}  # of each tag in self.open
+        self.blocks: list[int] = []  # places in self.open that are not inline
+        self.depth = 0
+        self.deep_block: Node | None = None  # whose text the last flattened node holds
         self.articles = False
+        self.push("", self.root, None)
+
+    def push(self, tag: str, node: Node, home: Node | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, node, home))
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from this place on."""
+        while len(self.open) > at:
+            tag, node, _ = self.open.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            if node is not self.open[-1][1]:
+                self.depth -= 1
+                self.deep_block = None
+
+    def place(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.rawdata.find(">", i) + 1 or -1  # a comment, in HTML
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -62,45 +92,53 @@ class Builder(HTMLParser):
             self.shut({"p"}, {"td", "th", "li", "button", "table"})
         if tag in ENDS_ALSO:
             self.shut(ENDS_ALSO[tag], {"ul", "ol", "dl", "table", "select"})
-        around = self.open[-1][1]
+        _, around, home = self.open[-1]
         attr = dict(attrs)
         said = f"{attr.get('class') or ''} {attr.get('id') or ''}"
         off = tag in OUTSIDE or (tag == "header" and not around.article) or (attr.get("role") or "").lower() in ROLES or "hidden" in attr or (tag not in ("html", "body") and bool(NOT_CONTENT.search(said) or not around.article and HEADER.search(said)))
         if tag in INLINE and not off:
-            self.open.append((tag, around))
+            self.push(tag, around, home)
             return
         main = tag in ("article", "main") or (attr.get("role") or "").lower() in ("main", "article")
         node = Node(f"{tag}.{re.sub(r'[0-9]+', '', said).strip()}", around.content and not off, around.article or (main and around.content and not off))
         self.articles |= node.article
-        around.kids.append(node)
-        self.open.append((tag, node))
+        if self.depth >= DEPTH:
+            home = home or around
+        else:
+            around.kids.append(node)
+        self.depth += 1
+        self.deep_block = None
+        self.push(tag, node, home)
 
     def shut(self, tags: set[str], walls: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                del self.open[i:]
-                return
-            if self.open[i][0] in walls:
-                return
+        at = self.place(tags)
+        if at > self.place(walls):
+            self.cut(at)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return
+        at = self.place((tag,))
+        if at > 0 and not (tag in INLINE and self.blocks[-1] > at):
+            self.cut(at)
 
     def handle_data(self, data: str) -> None:
-        node = self.open[-1][1]
-        if not (node.kids and node.kids[-1].label == "#"):
-            node.kids.append(Node("#", node.content, node.article))
-        node.kids[-1].text.append(data)
+        _, node, home = self.open[-1]
+        if home is None:
+            if not (node.kids and node.kids[-1].label == "#"):
+                node.kids.append(Node("#", node.content, node.article))
+            node.kids[-1].text.append(data)
+            return
+        if self.deep_block is not node:
+            flat = Node("deep", node.content, node.article)
+            flat.kids.append(Node("#", node.content, node.article))
+            home.kids.append(flat)
+            self.deep_block = node
+        home.kids[-1].kids[0].text.append(data)
 
 
 def parse(html: str | None) -> Builder:
     b = Builder()
-    b.feed(html or "")
+    # numbers of character references without leading zeros, and none that is far beyond all characters: long ones cannot be read
+    b.feed(re.sub(r"&#[0-9]{8,}", "&#1114112", re.sub(r"&#0+(?=[0-9])", "&#", html or "")))
     HTMLParser.close(b)
     return b
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -173,6 +174,30 @@ def test_html():
     assert html_text.main_text(None, None) == html_text.main_text("", None) == html_text.main_text("<p> </p>", None) == ""
 
 
+def test_html_of_any_shape():
+    text = html_text.main_text
+    assert text("<div>" * 100_000 + "in" + "</div>" * 100_000 + "<p>out", None) == "in\nout"
+    assert text("".join(f"<div>{i}" for i in range(1000)) + "".join(f"</div>{i}" for i in range(1000)), None) == "\n".join(map(str, [*range(1000), *range(1000)]))
+    deep = "<section>" * 500
+    assert text(deep + "a <b>b</b> c<div>d<i> e</i></div>f<nav>off</nav><div></div>g", None) == "a b c\nd e\nf\ng"
+    assert text(deep + "<p>one<br>two<p>three" + "</section>" * 500 + "<p>four", None) == "one two\nthree\nfour"
+    assert text("<i>" * 50_000 + "x" + "</i>" * 50_000 + "</b>" * 50_000 + "<p>y", None) == "x\ny"
+    assert text("<p><button>" + "<div>" * 50_000, None) == ""
+    assert text("a<![foo bar]>b<![CDATA[c]]>d<!x><?y><![if !IE]>e<![endif]>", None) == "abde"
+    assert text("<p>a&#" + "0" * 6000 + "65;&#" + "9" * 6000 + ";b", None) == "aA\ufffdb"
+    assert text("<p>a</div></p></ul><td>b<a href='", None).startswith("a")
+    page = "<div>" * 900 + "same" + "</div>" * 900 + "<p>{}</p>"
+    shapes = [html_text.page_shape(page.format(i))[0] for i in range(4)]
+    template = shapes[0]
+    for s in shapes[1:]:
+        template = html_text.merge(html_text.bare(template), s)
+    assert text(page.format(9), json.loads(json.dumps(html_text.bare(template)))) == "9"
+
+
+def test_html_of_no_page(spark):
+    assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_html_templates(spark):
     rows = [(i, "http://h.example/x", f"<div>Always here</div><p>text {i}</p><p>more</p><div><span>Bye</span></div>") for i in range(6)] + [(6, None, "<p>alone</p>"), (7, "u", None), (8, "http://one.example", "<p>same</p>"), (8, "http://one.example", "<p>same</p>")]
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("template", F.lit(1))).collect())

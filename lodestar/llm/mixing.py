@@ -2,10 +2,13 @@
 
 Each document draws an exponential key, scaled by its quality weight. A source first takes all its documents as many
 whole times as its target holds; what remains is filled in the order of the keys. Where in that order the target ends is
-found by sums over 256 ranges of the key and 256 ranges within one of them, so that only a 65,536th of a source is ever
-sorted. What is then still missing is brought nearest to nothing by one more document, if one helps.
+found by sums over 2048 ranges of the key's logarithm, 2048 within one of them and 2048 within that, each level a small
+table. The logarithm of any double lies in them, so whatever the weights are, a range at the end is about a millionth of an
+octave of keys wide, and only its documents are sorted. What is then still missing is brought nearest to nothing by one more
+document, if one helps.
 
-Defined results: a null or blank text has size 0 and is never taken; a null source is a source of its own, the last; ties
+Defined results: a quality that is null, not a number or not above 0 puts a document behind all others of its source (its key
+is infinite); an infinite one puts it first; a null or blank text has size 0 and is never taken; a null source is a source of its own, the last; ties
 of keys go by doc_id and the text's hash, and rows alike in both are alike in the result's rows; an empty table gives an
 empty result. Sources (one row each) are few beside documents: their order and weights are found in one small sort.
 """
@@ -19,7 +22,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lodestar.llm import store
 
 WORD = r"[^\x20\x09-\x0D]+"
-RANGES = 256
+RANGES = 2048
+LEVELS = 3
+OCTAVES = 1100  # of a key, on either side of 1: -ln(u) is 2^-55 to 2^6, a quality any double
 
 
 def sizes(text: Column) -> Column:
@@ -65,10 +70,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.xxhash64("text").alias("tie"),
     )
     u = (F.shiftrightunsigned("h", 11) + F.lit(0.5)) / F.lit(float(2**53))
-    # 1 - exp(-key) has the order of the key = -ln(u) / quality, and lies in [0, 1)
-    base = base.withColumn("key", F.lit(1.0) - F.exp(F.log(u) / F.greatest(F.coalesce("quality", F.lit(0.0)), F.lit(1e-3))))
-    fine = F.least(F.floor(F.col("key") * RANGES * RANGES), F.lit(RANGES * RANGES - 1))
-    base = store.table(base.select("row_id", "doc_id", "source", "size", "key", "tie", F.floor(fine / RANGES).cast("int").alias("r1"), (fine % RANGES).cast("int").alias("r2")), "sizes")
+    weighs = F.coalesce((F.col("quality") > 0) & ~F.isnan("quality"), F.lit(False))
+    base = base.withColumn("key", F.when(weighs, -F.log(u) / F.when(weighs, F.col("quality"))).otherwise(F.lit(float("inf"))))
+    octave = F.coalesce(F.log2(F.when(F.col("key") > 0, F.col("key"))), F.lit(-float(OCTAVES)))
+    share_of = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (octave + OCTAVES) / (2 * OCTAVES)))
+    fine = F.least((share_of * float(RANGES**LEVELS)).cast("long"), F.lit(RANGES**LEVELS - 1))
+    base = store.table(base.select("row_id", "doc_id", "source", "size", "key", "tie", fine.alias("fine")), "sizes")
+    digit = lambda level: (F.shiftright("fine", 11 * (LEVELS - level)) % RANGES).cast("int").alias(f"r{level}")
+    base = base.select("*", *[digit(level) for level in range(1, LEVELS + 1)])
 
     per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     named = per_source.withColumn("source", F.when(F.col("source") != "~", F.col("source")))
@@ -77,34 +86,36 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     src = src.withColumn("epochs", whole.cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")))
     src = store.table(src, "targets")
 
-    first = base.groupBy("source", "r1").agg(F.sum("size").alias("size")).join(src.select("source", "rest"), "source")
-    src = store.table(src.join(_where_full(first, "r1"), "source", "left"), "ends1")
-    at1 = src.select("source", F.col("end_r1").alias("r1"), F.col("left_r1").alias("rest"))
-    second = base.groupBy("source", "r1", "r2").agg(F.sum("size").alias("size")).join(at1, ["source", "r1"])
-    src = store.table(src.join(_where_full(second, "r2"), "source", "left"), "ends2")
-    at2 = src.select("source", F.col("end_r1").alias("r1"), F.col("end_r2").alias("r2"), F.col("left_r2").alias("rest"))
-    last = base.join(at2, ["source", "r1", "r2"]).withColumn("upto", F.sum("size").over(W.partitionBy("source").orderBy("key", "doc_id", "tie", "row_id")))
+    at = src.select("source", "rest")
+    for level in range(1, LEVELS + 1):
+        above, r = [f"r{i}" for i in range(1, level)], f"r{level}"
+        sums = base.groupBy("source", *above, r).agg(F.sum("size").alias("size")).join(at, ["source", *above])
+        src = store.table(src.join(_where_full(sums, r), "source", "left"), f"ends{level}")
+        at = src.select("source", *[F.col(f"end_r{i}").alias(f"r{i}") for i in range(1, level + 1)], F.col(f"left_{r}").alias("rest"))
+    last = base.join(at, ["source", *[f"r{i}" for i in range(1, LEVELS + 1)]]).withColumn("upto", F.sum("size").over(W.partitionBy("source").orderBy("key", "doc_id", "tie", "row_id")))
     end = last.where(F.col("upto") <= F.col("rest")).groupBy("source").agg(F.max(F.struct("upto", "key", "doc_id", "tie", "row_id")).alias("end"))
-    src = store.table(src.join(end, "source", "left"), "ends3")
+    src = store.table(src.join(end, "source", "left"), "last")
 
+    r, end_r = F.struct(*[f"r{i}" for i in range(1, LEVELS + 1)]), F.struct(*[F.col(f"end_r{i}").alias(f"r{i}") for i in range(1, LEVELS + 1)])
     here, at = F.struct("key", "doc_id", "tie", "row_id"), F.struct("end.key", "end.doc_id", "end.tie", "end.row_id")
-    r, end_r = F.col("r1") * RANGES + F.col("r2"), F.col("end_r1") * RANGES + F.col("end_r2")
     drawn = F.when(F.col("rest") <= 0, False).when(r < end_r, True).when(r > end_r, False).otherwise(F.coalesce(here <= at, F.lit(False)))
     placed = base.join(src, "source").withColumn("drawn", drawn)
-    missing = F.col("left_r2") - F.coalesce("end.upto", F.lit(0))
+    missing = F.col(f"left_r{LEVELS}") - F.coalesce("end.upto", F.lit(0))
     near = F.abs(F.col("size") - missing)
     more = placed.where(~F.col("drawn") & (F.col("rest") > 0) & (near < missing)).groupBy("source").agg(F.min(F.struct(near.alias("near"), F.col("key"), F.col("doc_id"), F.col("tie"), F.col("row_id"))).alias("m"))
-    src = store.table(src.join(more.select("source", F.col("m.row_id").alias("more_id")), "source", "left"), "ends4")
+    src = store.table(src.join(more.select("source", F.col("m.row_id").alias("more_id")), "source", "left"), "more")
     placed = base.join(src, "source").withColumn("copies", F.col("epochs") + (drawn | F.col("row_id").eqNullSafe(F.col("more_id"))).cast("long"))
     return placed.select("row_id", "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it."""
-    columns, docs = docs.columns, store.numbered(docs, "_row")
-    taken = mix(docs, row=F.col("_row")).where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
-    both = docs.join(taken, "_row")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*columns)
+    columns, row = docs.columns, store.free_name(docs, "_row")
+    docs = store.numbered(docs, row)
+    copies = store.free_name(docs, "_copies")
+    taken = mix(docs, row=F.col(row)).where("copies > 0").select(F.col("row_id").alias(row), F.col("copies").cast("int").alias(copies))
+    copy = store.free_name(docs, "_copy")
+    return docs.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*[f"`{c}`" for c in columns])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -67,9 +67,10 @@ def exact_groups(docs: DataFrame, row: Column | None = None) -> DataFrame:
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    docs = store.numbered(docs, "_row")
-    dropped = exact_groups(docs, F.col("_row")).where("NOT kept").select(F.col("row_id").alias("_row"))
-    return docs.join(dropped, "_row", "left_anti").drop("_row")
+    row = store.free_name(docs, "_row")
+    docs = store.numbered(docs, row)
+    dropped = exact_groups(docs, F.col(row)).where("NOT kept").select(F.col("row_id").alias(row))
+    return docs.join(dropped, row, "left_anti").drop(row)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

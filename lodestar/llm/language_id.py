@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lodestar.llm import blocks as B
+from lodestar.llm import blocks as B, store
 
 # Languages by family.
 FAMILIES = {
@@ -226,9 +226,10 @@ def recognised(docs: DataFrame, per_language: int = 800) -> DataFrame:
     model = fit(docs.select("doc_id", "text", "lang"), per_language)
     if not model.levels[""]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    pred, score = store.free_name(docs, "_lang_pred"), store.free_name(docs, "_lang_score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     told = docs.mapInArrow(predictor(model, docs.columns.index("text"), list(range(len(docs.columns))), schema.names), schema)
-    return told.where("_lang_pred != 'und'").drop("_lang_pred", "_lang_score")
+    return told.where(F.col(pred) != "und").drop(pred, score)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -246,10 +246,11 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 def kept_rows(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """docs without all but the first row of each component."""
-    numbered = store.numbered(docs, "_row")
-    told = near_groups(numbered.select(F.col("_row").alias("doc_id"), "text"), k, percent)
-    dropped = store.table(told.where("component_id != doc_id").select(F.col("doc_id").alias("_row")), "dropped")
-    return numbered.join(dropped, "_row", "left_anti").drop("_row")
+    row = store.free_name(docs, "_row")
+    numbered = store.numbered(docs, row)
+    told = near_groups(numbered.select(F.col(row).alias("doc_id"), "text"), k, percent)
+    dropped = store.table(told.where("component_id != doc_id").select(F.col("doc_id").alias(row)), "dropped")
+    return numbered.join(dropped, row, "left_anti").drop(row)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

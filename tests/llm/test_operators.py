@@ -147,6 +147,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame(odd, "vec_id long, embedding array<float>").limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_doubles_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)) * (1 + 1e-12)
+    rows = [(i // 2 if i < 10 else i, v.tolist(), "clash") for i, v in enumerate(x)]  # ids 0 to 4 are there twice
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string")
+    got = defaultdict(list)
+    for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=59).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    asked = [i for i, r in enumerate(rows) if r[0] % 20 == 0]
+    want = defaultdict(list)
+    for q in asked:
+        order = sorted((-float(x[q] @ x[i]), rows[i][0]) for i in range(60) if i != q)
+        want[rows[q][0]] += [(k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    assert set(got) == set(want) == {0, 20, 40}
+    for q in want:
+        a, b = sorted(got[q]), sorted(want[q])
+        assert Counter(f[:2] for f in a) == Counter(f[:2] for f in b)
+        assert sorted(f[2] for f in a) == pytest.approx(sorted(f[2] for f in b), abs=1e-14)
+
+
 def test_exact_dedup(docs, nothing):
     groups = defaultdict(list)
     for row in awkward():
@@ -265,6 +285,40 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 0.01, 0.001, 1e-200, 1e200, None])
+def test_mixing_draws_by_key(spark, scale):
+    rows = [(i if i % 7 else 7, f"{'w ' * (1 + i % 5)}{i % 3}", "ab"[i % 9 == 0]) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    quality = F.lit(scale).cast("double") if scale is None else F.when(F.col("doc_id") % 11 == 0, float("nan")).when(F.col("doc_id") % 13 == 0, -1.0).otherwise((F.col("doc_id") % 4 + 1) * F.lit(scale))
+    got = [r.asDict() for r in mixing.mix(table, quality=quality, row=F.monotonically_increasing_id()).collect()]
+    h = {r.row_id: r for r in table.select(F.monotonically_increasing_id().alias("row_id"), "source", F.xxhash64(F.lit(7), "doc_id").alias("h"), F.xxhash64("text").alias("tie"), quality.alias("q")).collect()}
+    for source in "ab":
+        mine = [r | h[r["row_id"]].asDict() for r in got if h[r["row_id"]].source == source]
+        for r in mine:
+            u, q = (((r["h"] % 2**64) >> 11) + 0.5) / 2**53, r["q"]
+            r["key"] = -math.log(u) / q if q is not None and q > 0 else math.inf
+        mine.sort(key=lambda r: (r["key"], r["doc_id"], r["tie"], r["row_id"]))
+        total = sum(r["size"] for r in mine)
+        epochs = int(mine[0]["target"] / total + 1e-12)
+        rest, want, i = mine[0]["target"] - epochs * total, [], 0
+        while i < len(mine) and mine[i]["size"] <= rest:
+            rest, i = rest - mine[i]["size"], i + 1
+        more = min(((abs(r["size"] - rest), j) for j, r in enumerate(mine) if j >= i and abs(r["size"] - rest) < rest), default=(0, None))[1]
+        want = [epochs + (j < i or j == more) for j in range(len(mine))]
+        assert [r["copies"] for r in mine] == want
+
+
+def test_columns_may_have_names_that_operators_use(spark):
+    names = ["_row", "__row", "_copies", "_copy", "_lang_pred", "_lang_score", "row_id"]
+    rows = [(i, f"the words of text {i} are here and they are all in one line", "en", "s", *[f"{n}{i}" for n in names]) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for work in (exact_dedup.kept_rows, near_join.kept_rows, mixing.mixed_rows, line_dedup.clean, language_id.recognised):
+        out = work(table)
+        assert out.columns == table.columns
+        found = out.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+
+
 def test_lines(docs, nothing):
     order = sorted(enumerate(awkward()), key=lambda e: (e[1][0] is not None, e[1][0] or 0))
     earlier, want = [], Counter()

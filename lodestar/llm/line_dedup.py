@@ -3,7 +3,8 @@
 A line's tokens are its distinct words, hashed and ordered by rarity. Two lines match if the Jaccard similarity of their
 tokens reaches the threshold; then both have one of their first few tokens in common (prefix filter), neither is too small
 for the other (length filter), and enough is left of each from there on (positional filter), so much that, one more token
-allowed before it, two tokens of that kind are common (`needed`). Pairs that pass are verified on all their words.
+allowed before it, two tokens of that kind are common (`needed`). A mask of 64 bits, one of them set for each word, bounds
+what two lines can have in common (`at_most`). Pairs that pass are verified on all their words.
 
 Lines with equal tokens are one node throughout, so copies cost nothing. A line goes if any earlier line matches it, so one
 match is enough: tokens of many lines first offer each line the earliest lines of their lists, and lines that go by those
@@ -94,9 +95,19 @@ def pair_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.floor(((n + m) * percent + 99 + percent) / (100 + percent)).cast("int")
 
 
+def mask(tokens: Column) -> Column:
+    """64 bits, of which each token sets one."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+
+
+def at_most(n: Column, mask: Column, other: Column) -> Column:
+    """How many of n tokens another line may have too: for each bit that only their mask has, at least one token is not in the other."""
+    return n - F.bit_count(mask.bitwiseAND(F.bitwise_not(other)))
+
+
 def entries_of(nodes: DataFrame, percent: int, *more: Column) -> DataFrame:
-    """nodes: k1, n, at, prefix. token, k, n, doc, ahead (tokens of the line from this one on) of each token of a prefix."""
-    each = nodes.select(F.col("k1").alias("k"), "n", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc"), *more, F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "token"))
+    """nodes: k1, n, mask, at, prefix. token, k, n, mask, doc, ahead (tokens of the line from this one on) of each token of a prefix."""
+    each = nodes.select(F.col("k1").alias("k"), "n", "mask", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc"), *more, F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "token"))
     return each.withColumn("ahead", least_overlap(F.col("n"), percent) - 1 + F.col("size") - F.col("i")).drop("i", "size")
 
 
@@ -110,6 +121,7 @@ def needed(percent: int) -> tuple[Column, Column]:
     both = pair_overlap(a("n"), b("n"), percent)
     least = F.greatest(both - 1, least_overlap(a("n"), percent), least_overlap(b("n"), percent))
     alike = (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & (F.least(a("ahead"), b("ahead")) >= least)
+    alike &= F.least(at_most(a("n"), a("mask"), b("mask")), at_most(b("n"), b("mask"), a("mask"))) >= both
     return alike, both - least + 1
 
 
@@ -122,7 +134,7 @@ def counted(joined: DataFrame, need: Column) -> DataFrame:
 def first_offers(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): for lines b with frequent tokens, the one with most in common of the earliest lines a in those tokens' lists."""
     hot = entries_of(nodes, percent).where(level_of(F.col("token")) >= ALONE + MANY).withColumn("salt", F.pmod("k", F.lit(SALTS)))
-    leaders = hot.groupBy("token", "salt").agg(F.min(F.struct("doc", "k", "n", "ahead")).alias("first")).select("token", "salt", "first.*")
+    leaders = hot.groupBy("token", "salt").agg(F.min(F.struct("doc", "k", "n", "mask", "ahead")).alias("first")).select("token", "salt", "first.*")
     alike, need = needed(percent)
     met = hot.alias("b").join(leaders.alias("a"), (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.k") != F.col("b.k")) & alike)
     return counted(met, need).groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
@@ -183,11 +195,11 @@ def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     key = lambda seed: F.when(F.col("n") > 0, F.xxhash64(F.lit(seed), "tokens"))
     # alone tokens stand first; they cannot be common
     prefix = F.filter(F.slice("tokens", F.lit(1), F.col("n") - least_overlap(F.col("n"), percent) + 1), lambda t: level_of(t) > ALONE)
-    raw = store.table(raw.select("doc_id", "text_hash", "pos", key(0).alias("k1"), key(1).alias("k2"), "n", prefix.alias("prefix")), "raw")
+    raw = store.table(raw.select("doc_id", "text_hash", "pos", key(0).alias("k1"), key(1).alias("k2"), "n", mask(F.col("tokens")).alias("mask"), prefix.alias("prefix")), "raw")
     store.release(levels)
     told = store.table(raw.select("doc_id", "text_hash", "pos", "k1", "k2"), "lines")
     place = F.min(F.struct("doc_id", "text_hash", "pos")).alias("at")
-    nodes = raw.where("n > 0").groupBy("k1", "k2").agg(place, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = raw.where("n > 0").groupBy("k1", "k2").agg(place, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mask").alias("mask"), F.first("prefix").alias("prefix"))
     nodes = store.table(nodes, "nodes")
     store.release(raw)
     offers = store.table(first_offers(nodes, percent), "offers")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lodestar.functions import ranks as R, scalars as S
 from lodestar.operators import decisions as D, evaluation as E, events as EV, filters as FL, popular as POP, predictors as P
-from lodestar.plans.settings import Data, Settings, recommend
+from lodestar.plans.settings import Data, Settings, recommend, similar
 from lodestar.sources import tables as T
 from lodestar.streaming import updates as ST
 
@@ -821,3 +821,43 @@ def settings_pipeline(s, d):
     """A tree of operators that settings describe, applied to all requests."""
     data = Data(T.buys(s, d), T.products(s, d), T.product_attrs(s, d, *ATTRS))
     return ranked(recommend(Settings(SETTINGS), data, T.candidates(s, d), 3), "prediction")
+
+
+SIMILAR_SETTINGS = {
+    "PREDICTOR": "steps", "DECISION": "best",
+    "steps_CLASS": "StickTogether", "steps_PREDICTORS": "rare;lift",
+    "rare_CLASS": "FilterByAttributeFrequency", "rare_THRESHOLD": "30",
+    "lift_CLASS": "ItemBasedLift", "lift_ID": "1", "lift_THRESHOLD": "0", "lift_RELEVANT_TIME": str(NEAR),
+    "best_CLASS": "GetBestNProducts", "best_MIN_PREDICTION": "0",
+}
+
+
+@query(f"""SELECT * REPLACE (round(prediction, 6) AS prediction) FROM (SELECT request_id, {TOP.format('prediction')}, product_id, prediction FROM (SELECT request_id, pos, product_id, coalesce(p, 0) AS prediction FROM (SELECT * FROM cands WHERE pos > 1)
+          LEFT JOIN (SELECT c.request_id, c.product_id, sum(co / (j.n * sqrt(i.n))) AS p FROM cands c JOIN (SELECT request_id, product_id AS j FROM cands WHERE pos = 1) h USING (request_id)
+          JOIN co ON co.a = c.product_id AND co.b = h.j JOIN counts i ON i.product_id = c.product_id JOIN counts j ON j.product_id = h.j GROUP BY 1, 2) USING (request_id, product_id))) WHERE rank <= 3""", PAIRS + COUNTS)
+def settings_pipeline_similar(s, d):
+    """A tree of operators over the products like each request's seeds."""
+    data = Data(identified(s, d).withColumn("event_id", F.col("event")), T.products(s, d), T.product_attrs(s, d, *ATTRS))
+    return ranked(similar(Settings(SIMILAR_SETTINGS), data, T.candidates(s, d), seeds(s, d), 3), r6("prediction"))
+
+
+EVENT_SETTINGS = {
+    "PREDICTOR": "steps", "DECISION": "mixed", "NOT_RECOMMEND_EVENTS": "R",
+    "steps_CLASS": "StickTogether", "steps_PREDICTORS": "views;price;negative",
+    "views_CLASS": "CountViewsTimeWindow", "views_ID": "1", "views_TIME_WINDOW": "100000000000",
+    "price_CLASS": "FloatAttribute", "price_ID": "2", "price_ATTRIBUTE": "p_retailprice",
+    "negative_CLASS": "NegativeRatingFilter", "negative_NEGATIVE_VALUE": "-1",
+    "mixed_CLASS": "CombineByRanksDecision", "mixed_PREDICTOR_IDS": "1;2", "mixed_PREDICTOR_WEIGHTS": "2;1",
+}
+
+
+@query(f"""SELECT * FROM (SELECT request_id, {TOP.format('prediction')}, product_id, prediction FROM (SELECT request_id, pos, product_id, 2.0 * (rank() OVER (PARTITION BY request_id ORDER BY n) - 1 + (count(*) OVER (PARTITION BY request_id, n) - 1) / 2)
+            + rank() OVER (PARTITION BY request_id ORDER BY p_retailprice) - 1 + (count(*) OVER (PARTITION BY request_id, p_retailprice) - 1) / 2 AS prediction
+          FROM cands c JOIN counts USING (product_id) JOIN part ON product_id = p_partkey
+          ANTI JOIN (SELECT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R') e ON c.consumer_id = o_custkey AND c.product_id = l_partkey)) WHERE rank <= 3""", COUNTS)
+def settings_by_event_type(s, d):
+    """Events of one type keep products out, those of all types count; the last step is a filter, and scores are combined by the decision."""
+    lines = T.table(s, d, "lineitem").join(T.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    events = lines.select(F.col("l_returnflag").alias("event_name"), F.col("o_custkey").alias("consumer_id"), F.col("l_partkey").alias("product_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts_sec"), F.lit(0).alias("rating"))
+    data = Data(events, T.products(s, d), T.product_attrs(s, d, *ATTRS))
+    return ranked(recommend(Settings(EVENT_SETTINGS), data, T.candidates(s, d), 3), "prediction")

@@ -3,7 +3,10 @@
 Model: bigrams over a smoothed unigram. p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), where the last share is any unseen word's;
 p2(w | h) = (c(h w) + M p1(w)) / (c(h) + M). As an automaton: a state for each word that was read last (and one for a
 text's start), an arc for each seen pair with the weight log10 p2, and a failure arc with the weight log10(M / (c(h) + M))
-to the state without history, which has an arc of weight log10 p1 for each word. A text is read once from left to right.
+to the state without history, which has an arc of weight log10 p1 for each word. A text is read once from left to right:
+in its state each word either has an arc, or takes the failure arc and the arc of the state without history; the weights
+add up, and the state reached is carried on to the next word. All texts of a chunk are read in step, a word of each at a
+time. Long texts are read in pieces of `PIECE` tokens, as the state that a piece starts in is known from the word before.
 
 Tasks hash their chunk's words and pairs and send each distinct one with its training count to the block that owns its
 hash; blocks add up and answer with the counts of the whole corpus. So a chunk's automaton holds exactly the arcs that its
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ SENT = "block int, chunk long, level int, hashes binary, counts binary"
 CHUNKS = "chunk long, docs binary, stream binary, words binary"
 ANSWER = "chunk long, block int, level int, counts binary, tokens long, types long"
 ADD = 0.1
+PIECE = 4096  # tokens
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -134,6 +139,46 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += len(h)
 
 
+@dataclass
+class Automaton:
+    """States are numbers: 0 without history, i + 1 after the word i, and the last one for the start of a text."""
+
+    arcs: np.ndarray  # state * number of words + word, sorted; a number that is no arc at the end
+    arc_weights: np.ndarray
+    failures: np.ndarray  # by state: the weight of the arc to state 0
+    own: np.ndarray  # by word: the weight of its arc out of state 0
+    after: np.ndarray  # by word: the state that its arcs lead to. Words never learned lead to state 0
+
+    @classmethod
+    def of_counts(cls, c1: np.ndarray, p1: np.ndarray, texts: float, state: np.ndarray, word: np.ndarray, c2: np.ndarray, strength: float) -> Automaton:
+        """c1, p1 by word; texts: how many were learned from; (state, word, c2): the pairs, seen in training or not."""
+        history = np.concatenate(([0.0], c1, [texts]))
+        state, word, c2 = state[c2 > 0], word[c2 > 0], c2[c2 > 0]
+        arcs = state * len(c1) + word
+        order = np.argsort(arcs)
+        weights = np.log10((c2 + strength * p1[word]) / (history[state] + strength))
+        return cls(np.append(arcs[order], np.iinfo(np.int64).max), np.append(weights[order], 0.0), np.log10(strength / (history + strength)), np.log10(p1), np.where(c1 > 0, np.arange(1, len(c1) + 1), 0))
+
+    def read(self, stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The sum of weights of each text; stream holds all texts' words, one text after the other."""
+        pieces = -(-sizes // PIECE)
+        text = np.repeat(np.arange(len(sizes)), pieces)
+        place = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        length = np.minimum(sizes[text] - place, PIECE)
+        begin = (np.cumsum(sizes) - sizes)[text] + place
+        order = np.argsort(-length, kind="stable")
+        text, length, begin, place = text[order], length[order], begin[order], place[order]
+        state = np.where(place == 0, len(self.own) + 1, self.after[stream[begin - 1]])
+        total = np.zeros(len(text))
+        for step, live in enumerate(np.searchsorted(-length, -np.arange(length[0] if len(length) else 0))):
+            word = stream[begin[:live] + step]
+            arc = state[:live] * len(self.own) + word
+            at = np.searchsorted(self.arcs, arc)
+            total[:live] += np.where(self.arcs[at] == arc, self.arc_weights[at], self.failures[state[:live]] + self.own[word])
+            state[:live] = self.after[word]
+        return np.bincount(text, weights=total, minlength=len(sizes))
+
+
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -148,20 +193,17 @@ def traverse(tokens: int, types: int, strength: float):
             sizes = docs.column("n").to_numpy()
             first = np.cumsum(sizes) - sizes
             c1, c2 = (np.concatenate([stretch(r[3], "<u8") for r in sorted((r for r in rows if r[2] == level), key=lambda r: r[1])]).astype(np.float64) for level in (1, 2))
-            _, arc = np.unique(pair_hashes(words, stream, sizes), return_inverse=True)
-            # the automaton: weights of the words' arcs, of the failure arcs out of the words' states, of the pairs' arcs
+            _, at = np.unique(pair_hashes(words, stream, sizes), return_index=True)
+            stream = stream.astype(np.int64)
             p1 = (c1 + ADD) / space
-            before = np.roll(stream, 1)
-            history = c1[before]
-            history[first] = c1[np.searchsorted(words, END)]
-            # the reading: each token's arc out of the state its forerunner left, or the failure arc and the word's own
-            seen = c2[arc]
-            weight = np.where(seen > 0, np.log10((seen + strength * p1[stream]) / (history + strength)), np.log10(strength / (history + strength)) + np.log10(p1)[stream])
+            state = stream[at - 1] + 1
+            state[np.isin(at, first)] = len(words) + 1
+            automaton = Automaton.of_counts(c1, p1, c1[np.searchsorted(words, END)], state, stream[at], c2, strength)
             n = docs.num_rows
             yield pa.RecordBatch.from_arrays([
                 docs.column("doc_id").combine_chunks(), docs.column("out").combine_chunks(), pa.array(sizes),
                 pa.array(np.add.reduceat((c1 > 0)[stream].astype(np.int64), first)), pa.array(np.full(n, tokens)),
-                pa.array(np.add.reduceat(np.log10(p1)[stream], first)), pa.array(np.add.reduceat(weight, first)),
+                pa.array(np.add.reduceat(automaton.own[stream], first)), pa.array(automaton.read(stream, sizes)),
             ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return B.tidy(run)

@@ -354,6 +354,31 @@ def test_language_model(docs, nothing):
     assert lm_scoring.score(nothing).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, 4096])
+def test_automaton_reads_word_by_word(monkeypatch, piece):
+    monkeypatch.setattr(lm_scoring, "PIECE", piece)
+    rng = random.Random(piece)
+    words, strength = 6, 20.0
+    texts = [[rng.randrange(words) for _ in range(rng.choice([1, 2, 9, 40]))] for _ in range(30)]
+    c1 = np.array([5.0, 0, 2, 9, 1, 7])  # word 1 was never learned
+    p1 = (c1 + 0.1) / (c1.sum() + 0.7)
+    start = words + 1
+    counts = {(s, w): float(rng.choice([0, 0, 1, 3])) for s in [1, 3, 4, 5, 6, start] for w in (0, 2, 3, 4, 5)}
+    state, word = (np.array(x) for x in zip(*counts, strict=True))
+    automaton = lm_scoring.Automaton.of_counts(c1, p1, 11.0, state, word, np.array(list(counts.values())), strength)
+    want = []
+    for text in texts:
+        at, total = start, 0.0
+        for w in text:
+            seen = 11.0 if at == start else c1[at - 1] if at else 0.0
+            pair = counts.get((at, w), 0.0)
+            total += math.log10((pair + strength * p1[w]) / (seen + strength))
+            at = w + 1 if c1[w] else 0
+        want.append(total)
+    assert automaton.read(np.array(sum(texts, [])), np.array([len(t) for t in texts])) == pytest.approx(want)
+    assert len(automaton.read(np.array([], dtype=np.int64), np.array([], dtype=np.int64))) == 0
+
+
 def test_near_join(docs, nothing):
     sets = []
     for row in awkward():

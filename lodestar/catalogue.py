@@ -335,6 +335,22 @@ def language_caps(s, d):
     return FL.language_caps(h, 10).select("consumer_id", "language", "max_items")
 
 
+CAPPED = """spoken AS (SELECT p_partkey AS product_id, p_type AS language FROM part),
+caps AS (SELECT consumer_id, language, CAST(round((count(*) + 3) / (any_value(t) + 3) * 3) AS BIGINT) + 1 AS max_items
+         FROM buys JOIN spoken USING (product_id) JOIN (SELECT consumer_id, count(*) AS t FROM buys GROUP BY 1) USING (consumer_id) WHERE NOT contains(language, 'sl') GROUP BY 1, 2),
+"""
+
+
+@query("""SELECT request_id, CAST(rank AS INT) AS rank, product_id, prediction FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY prediction DESC, pos) AS rank
+          FROM (SELECT s.*, max_items, row_number() OVER (PARTITION BY request_id, language ORDER BY prediction DESC, pos) AS place FROM scored s JOIN spoken USING (product_id) LEFT JOIN caps USING (consumer_id, language))
+          WHERE max_items IS NULL OR place <= max_items) WHERE rank <= 3""", POPULARITY + CAPPED)
+def best_within_languages(s, d):
+    """The best candidates, no more of each language (type) than the consumer's events have room for."""
+    spoken = T.products(s, d).select("product_id", F.col("p_type").alias("language"))
+    caps = FL.language_caps(T.buys(s, d).join(spoken, "product_id"), 3)
+    return ranked(D.best_n(FL.within_language_caps(popularity(s, d).join(spoken, "product_id"), caps), 0, 3), "prediction")
+
+
 @query("SELECT DISTINCT source AS channel, coalesce(lang, 'null') || coalesce(CASE WHEN lang = 'en' THEN NULL ELSE lang END, 'null') AS language FROM documents")
 def languages(s, d):
     two = T.table(s, d, "documents").select(F.col("source").alias("channel"), F.col("lang").alias("l1"), F.when(F.col("lang") != "en", F.col("lang")).alias("l2"))

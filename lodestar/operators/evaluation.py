@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def precision(lists: DataFrame) -> DataFrame:
@@ -18,10 +18,19 @@ def recall_precision_f(lists: DataFrame) -> DataFrame:
 
 
 def mean_average_precision(lists: DataFrame) -> DataFrame:
-    """Mean over consumers of the sum of precisions at hits, over the number of recommended items."""
+    """Mean over consumers of the sum of precisions at hits, over the number of recommended items. Each list is gone through once."""
     both = lists.where((F.size("relevant") > 0) & (F.size("recommended") > 0))
-    gain = F.transform("recommended", lambda p, k: F.when(F.array_contains("relevant", p), F.size(F.array_intersect(F.slice("recommended", F.lit(1), k + 1), "relevant")) / (k + 1)).otherwise(0.0))
-    return both.agg(F.avg(F.aggregate(gain, F.lit(0.0), lambda s, g: s + g) / F.size("recommended")).alias("map"))
+
+    def state(hits: Column, place: Column, gain: Column) -> Column:
+        return F.struct(hits.alias("hits"), place.alias("place"), gain.alias("gain"))
+
+    def step(so_far: Column, product: Column) -> Column:
+        hit, place = F.array_contains("relevant", product), so_far["place"] + 1
+        hits = so_far["hits"] + F.when(hit, 1).otherwise(0)
+        return state(hits, place, so_far["gain"] + F.when(hit, hits / place).otherwise(0.0))
+
+    gain = F.aggregate("recommended", state(F.lit(0), F.lit(0), F.lit(0.0)), step, lambda s: s["gain"])
+    return both.agg(F.avg(gain / F.size("recommended")).alias("map"))
 
 
 def root_mean_squared_error(pairs: DataFrame) -> DataFrame:

@@ -99,14 +99,21 @@ def series_latest(cands: DataFrame) -> DataFrame:
     return cands.where("series IS NOT NULL").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def language_caps(history: DataFrame, n: int, accepted: tuple[str, ...] = ("null", "nullnull", "sl")) -> DataFrame:
-    """history: consumer_id, language of each event. How many of n items of a language a consumer gets; accepted languages have no cap."""
+def language_caps(history: DataFrame, n: int, unknown: tuple[str, ...] = ("null", "nullnull"), spoken: str = "sl") -> DataFrame:
+    """history: consumer_id, language of each event. How many of n items of a language a consumer gets; unknown ones, and those that contain the language spoken by all, have no cap."""
     counts = history.groupBy("consumer_id", "language").agg(F.count("*").alias("n_lang"))
     of = W.partitionBy("consumer_id")
-    capped = ~(F.col("language").isin("null", "nullnull") | F.col("language").contains("sl"))
+    capped = ~(F.col("language").isin(*unknown) | F.col("language").contains(spoken))
     share = F.round((F.col("n_lang") + 3) / (F.sum("n_lang").over(of) + 3) * n).cast("long") + 1
     return counts.withColumn("max_items", F.when(capped, share)).where(capped)
 
 
+def within_language_caps(scored: DataFrame, caps: DataFrame) -> DataFrame:
+    """scored: request_id, consumer_id, pos, language, prediction. Without the items that the better ones of their language leave no room for."""
+    place = F.row_number().over(W.partitionBy("request_id", "language").orderBy(F.desc("prediction"), "pos"))
+    each = scored.join(caps.select("consumer_id", "language", "max_items"), ["consumer_id", "language"], "left").withColumn("_place", place)
+    return each.where(F.col("max_items").isNull() | (F.col("_place") <= F.col("max_items"))).select(*scored.columns)
+
+
 def live_tag(df: DataFrame, now: Column) -> DataFrame:
     return df.withColumn("live", F.coalesce((F.col("begin_ts") < now) & (now < F.col("end_ts")), F.lit(False)))

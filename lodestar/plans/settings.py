@@ -325,6 +325,15 @@ def choose(s: Settings, name: str, d: Data, scored: DataFrame, x: DataFrame, n:
     return DECISIONS[kind](s, name, d, scored, x, n)
 
 
+def within_languages(s: Settings, name: str, d: Data, scored: DataFrame, x: DataFrame, n: int) -> DataFrame:
+    """Another decision, over what the caps of the consumer's languages leave. Products have a column language."""
+    spoken = d.products.select("product_id", "language")
+    caps = FL.language_caps(buys(s, name, d).join(spoken, "product_id"), n)
+    left = FL.within_language_caps(scored.join(spoken, "product_id"), caps).drop("language")
+    return choose(s, s.get(f"{name}_DECISION"), d, left, x, n)
+
+
+decision("WithinLanguageCaps", within_languages)
 decision("GetBestNProducts", lambda s, name, d, c, x, n: D.best_n(c, s.number(f"{name}_MIN_PREDICTION"), n))
 decision("GetBestProbProducts", lambda s, name, d, c, x, n: D.best_prob(c, d.events, n))
 decision("GetBestRatingProducts", lambda s, name, d, c, x, n: D.best_rating(c, buys(s, name, d, "RATINGS"), s.number(f"{name}_ACCEPTABLE_RATINGS"), n))

@@ -25,7 +25,7 @@ KINDS = {
 NO_SIMILAR = {"CountViewsByConsumer", "ItemBasedCosine", "UnivariateLinearContent", "AttributeFilter", "FilterByAttributeFrequency", "NegativeRatingFilter", "DecreaseWeightByAttribute", "AddSimilarLastProducts"}
 LIFT = {"lift_CLASS": "ItemBasedLift", "lift_ID": "7", "lift_RELEVANT_TIME": "1000", "lift_THRESHOLD": "0"}
 CHOICES = {
-    "GetBestNProducts": {"MIN_PREDICTION": "0"}, "GetBestProbProducts": {}, "GetBestRatingProducts": {"ACCEPTABLE_RATINGS": "0"}, "GetLargestOffsetProducts": {"AVERAGE_ID": "1"},
+    "WithinLanguageCaps": {"DECISION": "best"}, "GetBestNProducts": {"MIN_PREDICTION": "0"}, "GetBestProbProducts": {}, "GetBestRatingProducts": {"ACCEPTABLE_RATINGS": "0"}, "GetLargestOffsetProducts": {"AVERAGE_ID": "1"},
     "GetPopularProducts": {"BUYS": "buy"}, "HybridDecision": {"DECISIONS": "best;known"}, "CombineByRanksDecision": {"PREDICTOR_IDS": "1;2", "PREDICTOR_WEIGHTS": "1;1"},
     "AttributeFrequencyDecision": {}, "RemoveDuplicates": {"MAX_ITEMS_t": "1"}, "CombinePredictorsDecision": {"PREDICTOR_IDS": "1;2", "PREDICTOR_WEIGHTS": "1;1"},
 }
@@ -41,7 +41,7 @@ def data(spark):
     events = [("buy", 1, 1, 11, 100, 5), ("buy", 2, 1, 12, 200, 1), ("buy", 3, 2, 11, 300, 3), ("buy", 4, 2, 13, 350, 4), ("rate", 5, 2, 12, 9000, 2), ("buy", 6, 3, 11, 9100, 5)]
     events = spark.createDataFrame(events, "event_name string, event_id long, consumer_id long, product_id long, ts_sec long, rating int")
     products = [(11, 1.0, 0, 3600, "one", 1, 1, 1, "one", "t"), (12, 2.0, 0, 30, "two", 1, 1, 2, "two", "t"), (13, 3.0, 0, 3600, "three", 1, 1, 3, "three", "u"), (14, None, 0, 3600, "four", None, None, None, "four", None)]
-    products = spark.createDataFrame(products, "product_id long, price double, begin_ts long, end_ts long, title string, series long, season int, episode int, title_key string, tags string")
+    products = spark.createDataFrame(products, "product_id long, price double, begin_ts long, end_ts long, title string, series long, season int, episode int, title_key string, tags string").withColumn("language", F.lit("en"))
     attrs = spark.createDataFrame([(11, 0, "x"), (12, 0, "x"), (13, 0, "y"), (14, 0, "z"), (11, 1, "p"), (13, 1, "p")], "product_id long, attr_idx int, value string")
     return Data(events, products, attrs)
 

@@ -138,8 +138,8 @@ def counts(events: DataFrame) -> DataFrame:
 
 
 def together(s: Settings, n: str, events: DataFrame) -> DataFrame:
-    """How often products are bought together; event_id tells the events of a consumer apart."""
-    return P.cooccurrence(events.withColumn("event", F.col("event_id")), whole(s, f"{n}_RELEVANT_TIME"))
+    """How often products are bought together."""
+    return P.cooccurrence(events, whole(s, f"{n}_RELEVANT_TIME"))
 
 
 def order_of(events: DataFrame) -> list[str]:
@@ -187,7 +187,7 @@ def item_cosine(s: Settings, n: str, d: Data, c: DataFrame, x: DataFrame, seeds:
 
 
 def attribute_lift(s: Settings, n: str, d: Data, c: DataFrame, x: DataFrame | None, seeds: DataFrame | None) -> DataFrame:
-    e = buys(s, n, d).withColumn("event", F.col("event_id"))
+    e = buys(s, n, d)
     lift = P.value_lift(*P.attribute_lift_model(e, d.attrs, whole(s, f"{n}_RELEVANT_TIME")), s.number(f"{n}_M"), s.number(f"{n}_STABILIZE"), whole(s, f"{n}_LIMIT_VALUES", 0))
     if seeds is not None:
         return P.attribute_lift_similar(c, seeds, d.attrs, lift)

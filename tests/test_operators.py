@@ -151,3 +151,17 @@ def test_retention(spark):
     ev = spark.createDataFrame([(1, i, i) for i in range(5)], "consumer_id long, product_id long, ts_sec long")
     assert sorted(r.product_id for r in events.keep_last(ev, ["ts_sec"], 2).collect()) == [3, 4]
     assert events.decayed(spark.createDataFrame([(1,), (3,)], "n long")).collect()[0].n == 2
+
+
+def test_close_events_need_no_numbers(spark):
+    """Numbers that change from one reading to the next, as those of rows behind a shuffle do, make no difference; nor do equal events."""
+    rows = [(1, 7, 0), (1, 7, 0), (1, 8, 0), (1, 8, 15), (1, 7, 15), (1, 9, 100), (2, 8, 0), (2, 7, 10), (2, 7, 10), (None, 7, 0), (2, None, 10)] + [(c, p, 0) for c in range(3, 30) for p in (7, 8)]
+    ev = spark.createDataFrame(rows, "consumer_id long, product_id long, ts_sec long").withColumn("event", (F.rand() * 2).cast("int"))
+    pairs = [(x[1], y[1]) for i, x in enumerate(rows) for j, y in enumerate(rows) if i != j and x[0] and x[0] == y[0] and x[1] and y[1] and abs(x[2] - y[2]) <= 10]
+    want = {p: pairs.count(p) for p in set(pairs)}
+    co = {(r.a, r.b): r.co for r in predictors.cooccurrence(ev, 10).collect()}
+    assert co == {p: n for p, n in want.items() if p[0] != p[1]}
+    attrs = spark.createDataFrame([(p, 0, "n", str(p)) for p in (7, 8, 9)], schema.PRODUCT_ATTRS)
+    model, n = predictors.attribute_lift_model(ev, attrs, 10)
+    assert {(int(r.a), int(r.b)): r.co for r in model.collect()} == want
+    assert {int(r.value): r.n for r in n.collect()} == {k: sum(c for (a, _), c in want.items() if a == k) for k in (7, 8)}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lodestar.functions.ranks import midrank
@@ -12,6 +13,36 @@ from lodestar.functions.ranks import midrank
 RESULT = "request_id long, rank int, product_id long, prediction double"
 
 
+def by_request(items: DataFrame, columns: Sequence[str], choose: Callable[[dict[str, list]], list[tuple]], result: str) -> DataFrame:
+    """The rows of `choose` for each request's items, in the order of predictions and then pos, as a list for each column.
+
+    Spark gathers the lists and Python goes through many requests of a batch in plain loops: a call with a data frame for
+    each request would take much longer than the choice.
+    """
+    names = [c.split()[0] for c in result.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in result.split(", ")])
+    at, by = list(columns).index("prediction"), list(columns).index("pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, out = batch.column(1), []
+            ends = lists.offsets.to_pylist()
+            flat = lists.flatten()
+            flat = [flat.field(i).to_pylist() for i in range(len(columns))]
+            for r, start, end in zip(batch.column(0).to_pylist(), ends, ends[1:], strict=False):
+                start, end = start - ends[0], end - ends[0]
+                score, pos = flat[at], flat[by]
+                order = range(start, end)
+                if end - start > 1:  # missing ones last
+                    order = sorted(order, key=lambda i: (score[i] is None or score[i] != score[i], -(score[i] or 0.0), pos[i] is None, pos[i] or 0))
+                out.extend((r, *x) for x in choose({c: [v[i] for i in order] for c, v in zip(columns, flat, strict=True)}))
+            rows = list(zip(*out, strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, schema, strict=True)], schema=schema)
+
+    return items.groupBy("request_id").agg(F.collect_list(F.struct(*columns)).alias("items")).mapInArrow(run, result)
+
+
 def select_best(scored: DataFrame, weight: Column, n: int | str, seed: int | None = None) -> DataFrame:
     """The n best by weight, ties by pos; a column may hold n. With a seed each weight is multiplied by a random number, the same for a request and product in each run."""
     w = weight if seed is None else weight * (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "request_id", "product_id"), 11) / F.lit(float(2**53)))
@@ -86,35 +117,43 @@ def distinct_titles(scored: DataFrame, n: int, least: float = 0.0) -> DataFrame:
     return select_best(x.withColumn("_t", first).where((F.col("_t") == 1) | (F.col("title_key") == "")), F.col("prediction"), n).drop("_t")
 
 
+@lru_cache(1 << 16)
+def tags_of(tags: str | None) -> tuple[str, ...]:
+    return tuple(t for t in (tags or "").split(";") if t)
+
+
 class Adder:
-    """Adds items of one request in turn, as long as titles and tag counts allow."""
+    """Adds items of one request in turn, as long as titles and tag counts allow. items: lists of product_id, prediction, title_key and tags; an item is a place in them."""
 
-    def __init__(self, n: int, caps: dict[str, int], secondary: dict[str, int], needs_reason: bool = False) -> None:
+    def __init__(self, n: int, caps: dict[str, int], secondary: dict[str, int], items: dict[str, list], needs_reason: bool = False) -> None:
         self.n, self.caps, self.secondary, self.needs_reason = n, caps, secondary, needs_reason
+        self.products, self.keys, self.tags, self.items = items["product_id"], items["title_key"], items["tags"], items
         self.titles, self.ids, self.counts, self.taken = set(), set(), {}, []
 
     def fits(self, tags: Sequence[str], caps: dict[str, int]) -> bool:
         return all(self.counts.get(t, 0) < caps[t] for t in tags if t in caps)
 
-    def add(self, item: dict, mode: str) -> bool:
+    def add(self, i: int, mode: str) -> bool:
         """strict: title, both kinds of caps and, if asked for, an explanation; normal: title and primary caps; forced: only what is not had yet."""
-        title, tags = item.get("title_key") or "", [t for t in (item.get("tags") or "").split(";") if t]
-        if len(self.taken) >= self.n or item["product_id"] in self.ids:
+        if len(self.taken) >= self.n or self.products[i] in self.ids:
             return False
+        title, tags = self.keys[i] or "", tags_of(self.tags[i])
         if mode != "forced" and ((title and title in self.titles) or not self.fits(tags, self.caps)):
             return False
-        if mode == "strict" and (not self.fits(tags, self.secondary) or (self.needs_reason and not item.get("explained"))):
+        if mode == "strict" and (not self.fits(tags, self.secondary) or (self.needs_reason and not self.items["explained"][i])):
             return False
-        self.taken.append(item)
-        self.ids.add(item["product_id"])
+        self.taken.append(i)
+        self.ids.add(self.products[i])
         self.titles.add(title)
         for t in tags:
             self.counts[t] = self.counts.get(t, 0) + 1
         return True
 
-    def frame(self, request_id: int) -> pd.DataFrame:
-        rows = [(request_id, i, x["product_id"], float(x["prediction"])) for i, x in enumerate(self.taken, 1)]
-        return pd.DataFrame(rows, columns=["request_id", "rank", "product_id", "prediction"])
+    def rows(self) -> list[tuple]:
+        return [(k, self.products[i], self.items["prediction"][i]) for k, i in enumerate(self.taken, 1)]
+
+
+GREEDY = ["pos", "product_id", "prediction", "title_key", "tags"]
 
 
 def remove_duplicates(scored: DataFrame, n: int, caps: dict[str, int] | None = None, secondary: dict[str, int] | None = None, least: float = 0.0, forced: Sequence[int] = ()) -> DataFrame:
@@ -122,45 +161,48 @@ def remove_duplicates(scored: DataFrame, n: int, caps: dict[str, int] | None = N
 
     Taking one item decides what may follow, so each request's list is gone through in a Python worker. Requests are bounded by their candidates.
     """
-    caps, secondary = caps or {}, secondary or {}
-
-    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        adder = Adder(n, caps, secondary)
-        order = items.sort_values(["prediction", "pos"], ascending=[False, True]).to_dict("records")
-        for item in order:
-            if item["product_id"] in forced:
-                adder.add(item, "forced")
-        good = [x for x in order if x["prediction"] >= least]
+    caps, secondary, forced = caps or {}, secondary or {}, set(forced)
+
+    def run(items: dict[str, list]) -> list[tuple]:
+        adder = Adder(n, caps, secondary, items)
+        for i, product in enumerate(items["product_id"] if forced else ()):
+            if product in forced:
+                adder.add(i, "forced")
+        good = [i for i, p in enumerate(items["prediction"]) if p is not None and p >= least]
         for mode in ("strict", "normal", "forced"):
-            for item in good:
-                adder.add(item, mode)
-        return adder.frame(key[0])
+            if len(adder.taken) >= n:
+                break
+            for i in good:
+                adder.add(i, mode)
+        return adder.rows()
 
-    return scored.groupBy("request_id").applyInPandas(run, RESULT)
+    return by_request(scored, GREEDY, run, RESULT)
 
 
 def combine_predictors(scores: DataFrame, weights: dict[int, int], n: int, caps: dict[str, int] | None = None) -> DataFrame:
     """scores long, with title_key and tags. In each round so many items of each predictor's list as its weight says; what is missing is filled from the first list."""
-    caps = caps or {}
-
-    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        lists = {p: iter(g.sort_values(["prediction", "pos"], ascending=[False, True]).to_dict("records")) for p, g in items.groupby("predictor_id")}
-        adder, live = Adder(n, caps, {}), [p for p in weights if p in lists]
+    caps, first = caps or {}, next(iter(weights))
+
+    def run(items: dict[str, list]) -> list[tuple]:
+        places = {}
+        for i, p in enumerate(items["predictor_id"]):
+            places.setdefault(p, []).append(i)
+        lists = {p: iter(x) for p, x in places.items()}
+        adder, live = Adder(n, caps, {}, items), [p for p in weights if p in lists]
         while live and len(adder.taken) < n:
             for p in list(live):
                 got = 0
-                for item in lists[p]:
-                    got += adder.add(item, "strict")
+                for i in lists[p]:
+                    got += adder.add(i, "strict")
                     if got >= weights[p] or len(adder.taken) >= n:
                         break
                 else:
                     live.remove(p)
-        first = next(iter(weights))
-        for item in items[items.predictor_id == first].sort_values(["prediction", "pos"], ascending=[False, True]).to_dict("records"):
-            adder.add(item, "forced")
-        return adder.frame(key[0])
+        for i in places.get(first, ()):
+            adder.add(i, "forced")
+        return adder.rows()
 
-    return scores.groupBy("request_id").applyInPandas(run, RESULT)
+    return by_request(scores, [*GREEDY, "predictor_id"], run, RESULT)
 
 
 def genre_cooccurrence(programmes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,9 +233,12 @@ def virtual_channels(scored: DataFrame, similarity: dict[tuple[str, str], float]
     """
     per = max(1, most // channels)
 
-    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        order = items.sort_values(["prediction", "pos"], ascending=[False, True]).to_dict("records")
-        sim = lambda x, y: genre_similarity(list(x["genres"]), list(y["genres"]), similarity)
+    def run(items: dict[str, list]) -> list[tuple]:
+        genres, unknown = [x or () for x in items["genres"]], float("nan")  # compares with nothing
+        times = {c: [unknown if t is None else t for t in items[c]] for c in ("begin_ts", "end_ts", "now_ts")}
+        items = items | times | {"genres": genres}
+        order = [dict(zip(items, x, strict=True)) for x in zip(*items.values(), strict=True)]
+        sim = lambda x, y: genre_similarity(x["genres"], y["genres"], similarity)
         live = [x for x in order if x["begin_ts"] <= x["now_ts"] and x["now_ts"] - x["begin_ts"] <= 1800 and x["end_ts"] - x["now_ts"] > x["now_ts"] - x["begin_ts"]][: 4 * channels + 1]
         pivots = live[:1]
         while len(pivots) < channels:
@@ -216,7 +261,7 @@ def virtual_channels(scored: DataFrame, similarity: dict[tuple[str, str], float]
                         used.add(id(x))
                         past, ahead = past + old, ahead + far
                         break
-        rows = [(key[0], i, x["product_id"], float(x["prediction"])) for i, s in enumerate(slots) for x in s]
-        return pd.DataFrame(rows, columns=["request_id", "channel", "product_id", "prediction"])
+        return [(i, x["product_id"], x["prediction"]) for i, s in enumerate(slots) for x in s]
 
-    return scored.groupBy("request_id").applyInPandas(run, "request_id long, channel int, product_id long, prediction double")
+    columns = ["pos", "product_id", "prediction", "begin_ts", "end_ts", "genres", "now_ts"]
+    return by_request(scored, columns, run, "request_id long, channel int, product_id long, prediction double")

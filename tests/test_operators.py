@@ -165,3 +165,17 @@ def test_close_events_need_no_numbers(spark):
     model, n = predictors.attribute_lift_model(ev, attrs, 10)
     assert {(int(r.a), int(r.b)): r.co for r in model.collect()} == want
     assert {int(r.value): r.n for r in n.collect()} == {k: sum(c for (a, _), c in want.items() if a == k) for k in (7, 8)}
+
+
+def test_greedy_selections_take_many_requests_at_a_time(spark):
+    """No call for each request, and missing predictions and times stand last or fit nothing."""
+    rows = [(r, 1, 10, None, "a", "x") for r in range(300)] + [(r, p, 10 + p, float(p), "b", "y") for r in range(300) for p in (2, 3)]
+    df = spark.createDataFrame(rows, "request_id long, pos int, product_id long, prediction double, title_key string, tags string")
+    got = decisions.remove_duplicates(df, 2)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == [(r, k, p, float(p - 10)) for r in range(300) for k, p in ((1, 13), (2, 12))]
+    got = decisions.combine_predictors(df.withColumn("predictor_id", F.lit(1)), {1: 1}, 3).collect()
+    assert sorted(map(tuple, got)) == [(r, k, *x) for r in range(300) for k, x in enumerate([(13, 3.0), (10, None), (12, 2.0)], 1)]
+    shows = [(1, 1, 5, 1.0, 0, 90, ["g"], 10), (1, 2, 6, 2.0, None, 90, None, 10), (2, 1, 7, 1.0, 0, 90, ["g"], None)]
+    df = spark.createDataFrame(shows, "request_id long, pos int, product_id long, prediction double, begin_ts long, end_ts long, genres array<string>, now_ts long")
+    assert [tuple(r) for r in decisions.virtual_channels(df, {}, 2, 6).collect()] == [(1, 0, 5, 1.0)]

@@ -196,10 +196,10 @@ def attribute_lift(s: Settings, n: str, d: Data, c: DataFrame, x: DataFrame | No
 
 def naive_bayes(s: Settings, n: str, d: Data, c: DataFrame, x: DataFrame | None, seeds: DataFrame | None) -> DataFrame:
     combos = P.combinations(d.attrs, whole(s, f"{n}_COMBINATION_SIZE", 2))
-    stats = P.bayes_stats(views(buys(s, n, d)), combos)
+    seen = views(buys(s, n, d))
     if seeds is not None:
-        return P.naive_bayes_similar(c, seeds, stats, combos, s.number(f"{n}_M"), len(s.list(f"{n}_ATTRIBUTES")))
-    return P.naive_bayes(c, stats, combos, contexts(s, n), s.number(f"{n}_M"), s.number(f"{n}_ATTRIBUTES_WEIGHTS", 1))
+        return P.naive_bayes_similar(c, seeds, P.bayes_stats(seen, combos), combos, s.number(f"{n}_M"), len(s.list(f"{n}_ATTRIBUTES")))
+    return P.naive_bayes(c, seen, combos, contexts(s, n), s.number(f"{n}_M"), s.number(f"{n}_ATTRIBUTES_WEIGHTS", 1))
 
 
 predictor("CountViewsByConsumer", scoring(lambda s, n, d, c, x, _: P.count_views_by_consumer(c, views(buys(s, n, d)), contexts(s, n), s.number(f"{n}_M"))))

@@ -236,3 +236,33 @@ def test_item_cosine_takes_histories_in_arrays(spark, most):
 
     got = {(r.request_id, r.product_id): r.prediction for r in df.collect()}
     assert got == {(r, p): pytest.approx(score(c, p)) for r, _, c, p in cands}
+
+
+def test_naive_bayes_counts_at_the_consumer(spark):
+    rng = random.Random(5)
+    cands = [(r, i + 1, r % 4 or None, p) for r in range(1, 9) for i, p in enumerate(rng.sample(range(10), 5))]
+    seen = [(rng.choice([1, 2, 3, 5, None]), rng.randrange(10), rng.choice([0, 0, 7, 2])) for _ in range(60)]
+    seen = [v for v in seen if v[0] != 3 or v[2] == 7]  # consumer 3 has no view of context 0
+    combos = [(p, rng.choice("abcd")) for p in range(9) for _ in range(3)]  # some twice; product 9 has none
+    frames = [spark.createDataFrame(rows, of) for rows, of in [(cands, schema.CANDIDATES), (seen, "consumer_id long, product_id long, context int"), (combos, "product_id long, combo string")]]
+    df = predictors.naive_bayes(*frames, [0, 7], 10, 1.5)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.columns == [*frames[0].columns, "prediction"] and "grouping_id" not in plan
+    assert not re.search(r"Join \w+, .*combo.*consumer_id|Join \w+, .*consumer_id.*combo", plan)  # nothing is joined by consumer and combination
+    each = [(c, k, x) for c, p, x in seen for q, k in combos if p == q]
+    n = lambda c=None, k=None, x=0: sum((c is None or c == e[0]) and (k is None or k == e[1]) and x == e[2] for e in each)
+
+    def score(consumer, product):
+        mine = [k for p, k in combos if p == product]
+        if not consumer or not mine or not n(consumer):
+            return 0.0
+        logs = []
+        for k in set(mine):
+            p0 = (n(None, k) + 1e-6) / (n() + 2)
+            pu = (n(consumer, k) + 10 * p0) / (n(consumer) + 10)
+            ln = sum(math.log((n(consumer, k, x) + 10 * pu) / (n(consumer, None, x) + 10) / p0) for x in (0, 7)) * mine.count(k)
+            logs.append(math.log(max(0.9, min(1 + n(consumer, k) / 2, math.exp(ln * 0.75)))))
+        return max(math.exp(sum(logs) / (len(logs) * 0.75)) - 1, 0.0)
+
+    got = {(r.request_id, r.product_id): r.prediction for r in df.collect()}
+    assert got == {(r, p): pytest.approx(score(c, p)) for r, _, c, p in cands} and any(got.values())

@@ -2,13 +2,15 @@
 
 A line's tokens are its distinct words, hashed and ordered by rarity. Two lines match if the Jaccard similarity of their
 tokens reaches the threshold; then both have one of their first few tokens in common (prefix filter), neither is too small
-for the other (length filter), and enough is left of each from there on (positional filter), so much that, one more token
-allowed before it, two tokens of that kind are common (`needed`). A mask of 64 bits, one of them set for each word, bounds
-what two lines can have in common (`at_most`). Pairs that pass are verified on all their words.
+for the other (length filter), and enough is left of each from there on (positional filter). The shorter line of a pair
+needs a shorter prefix than the longer one, so each line has entries of both roles, by token and class of lengths: classes
+are so wide that a line's shorter partners are of its own class or the one below. A mask of 128 bits, one of them set for
+each word that is not among the most frequent, bounds what two lines can have in common (`at_most`). Pairs that pass are
+verified on all their words. Tokens are taken in PARTS, one after the other, so that few entries are on disk at a time.
 
 Lines with equal tokens are one node throughout, so copies cost nothing. A line goes if any earlier line matches it, so one
 match is enough: tokens of many lines first offer each line the earliest lines of their lists, and lines that go by those
-ask for no other match. What is left meets all earlier lines of its lists.
+ask for no other match. What is left meets all earlier lines of its lists, first the one with most entries in common.
 
 Any order that is the same for all lines gives right results; the better it follows rarity, the fewer pairs come up. It
 comes from a table of 2^24 counters, of fixed size whatever the input, which all words are counted in by their hash. Words
@@ -22,6 +24,9 @@ than doc_id and text are passed over. Tokens, texts and sets are told apart by 6
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm import store
@@ -29,7 +34,9 @@ from lodestar.llm.exact_dedup import normalised
 
 BITS, PAGE = 24, 10  # of the counters' number; of the counters of a page
 ALONE = 33  # the character of a count of one
-MANY = 12  # twice the log2 of the occurrences from which on a token's earliest lines come first
+MANY = 16  # twice the log2 of the occurrences from which on a token's earliest lines come first
+FREQUENT = 12  # words of at least 1/64 of the most frequent counter's words (again twice the log2) are not in masks
+PARTS = 4
 SALTS = 8  # parts of such a token's list, each with its own earliest line
 FILTER = 18  # log2 of the 64-bit words of a filter
 NULL_ID = -(1 << 63)
@@ -43,7 +50,10 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(line, WHITE)), "")
+    """Hashes of the distinct words. Lines with no white space but blanks go the shorter way."""
+    other = reduce(lambda x, y: x | y, (F.contains(line, F.lit(c)) for c in "\t\v\f\r"))
+    parts = F.when(other, F.split(line, WHITE)).otherwise(F.split(line, " "))
+    return F.array_remove(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def bucket(token: Column) -> Column:
@@ -56,8 +66,8 @@ def in_order(entries: Column, at: str, value, blank) -> Column:
     return F.transform(entries, lambda x, i: blank(x[at] - before(i) - 1, value(x)))
 
 
-def rarity_table(docs: DataFrame) -> DataFrame:
-    """One row: levels, a byte for each counter that says how many words fall into it (twice the log2, after ALONE)."""
+def rarity_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(One row: levels, a byte for each counter that says how many words fall into it (twice the log2, after ALONE). One row: top, the highest level)."""
     each = docs.select(F.explode(F.split(normalised(F.col("text")), WHITE)).alias("word")).where("word != ''")
     counts = each.groupBy(bucket(F.xxhash64("word")).alias("bucket")).count().where("count > 1")
     level = F.char(F.least(F.lit(60), F.floor(F.log2("count") * 2)) + ALONE)
@@ -65,16 +75,18 @@ def rarity_table(docs: DataFrame) -> DataFrame:
     pad = lambda wide: lambda n, s: F.concat(F.repeat(F.lit(chr(ALONE) * wide), n), s)
     joined = lambda c, wide: F.array_join(in_order(F.col(c), "at", lambda x: x["value"], pad(wide)), "")
     pages = counts.groupBy(F.shiftright("bucket", PAGE).alias("at")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    pages = pages.select("at", F.rpad(joined("entries", 1), 1 << PAGE, chr(ALONE)).alias("value"))
+    pages = store.table(pages.select("at", F.rpad(joined("entries", 1), 1 << PAGE, chr(ALONE)).alias("value")), "pages")
     whole = pages.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("pages"))  # 2^14 pages at most
-    return store.table(whole.select(F.rpad(joined("pages", 1 << PAGE), 1 << BITS, chr(ALONE)).cast("binary").alias("levels")), "rarity")
+    levels = store.table(whole.select(F.rpad(joined("pages", 1 << PAGE), 1 << BITS, chr(ALONE)).cast("binary").alias("levels")), "rarity")
+    top = store.table(pages.agg(F.coalesce(F.max(F.array_max(F.transform(F.split("value", ""), F.ascii))), F.lit(ALONE)).cast("long").alias("top")), "top")
+    store.release(pages)
+    return levels, top
 
 
 def by_rarity(words: Column, levels: Column) -> Column:
-    """words as numbers in the order of their rarity: the level in front, then the upper bits of the hash."""
+    """words (hashes) as numbers in the order of their rarity: the level in front, then the upper bits of the hash."""
 
-    def number(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def number(h: Column) -> Column:
         level = F.ascii(F.substring(levels, bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
@@ -95,60 +107,85 @@ def pair_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.floor(((n + m) * percent + 99 + percent) / (100 + percent)).cast("int")
 
 
-def mask(tokens: Column) -> Column:
-    """64 bits, of which each token sets one."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+def mask(tokens: Column, below: Column, half: int) -> Column:
+    """One half of 128 bits, of which each token whose level is lower than `below` sets one. Such tokens stand first."""
+    of = F.filter(tokens, lambda t: (level_of(t) < below) & (t.bitwiseAND(64) == 64 * half))
+    return F.aggregate(of, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
 
 
-def at_most(n: Column, mask: Column, other: Column) -> Column:
-    """How many of n tokens another line may have too: for each bit that only their mask has, at least one token is not in the other."""
-    return n - F.bit_count(mask.bitwiseAND(F.bitwise_not(other)))
+def at_most(a: str, b: str) -> Column:
+    """How many of a's tokens b may have too: for each bit that only a's mask has, at least one token is not in b."""
+    alone = lambda m: F.bit_count(F.col(f"{a}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{m}"))))
+    return F.col(f"{a}.n") - alone("mask0") - alone("mask1")
 
 
-def entries_of(nodes: DataFrame, percent: int, *more: Column) -> DataFrame:
-    """nodes: k1, n, mask, at, prefix. token, k, n, mask, doc, ahead (tokens of the line from this one on) of each token of a prefix."""
-    each = nodes.select(F.col("k1").alias("k"), "n", "mask", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc"), *more, F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "token"))
-    return each.withColumn("ahead", least_overlap(F.col("n"), percent) - 1 + F.col("size") - F.col("i")).drop("i", "size")
+def size_class(n: Column, percent: int) -> Column:
+    """Of two matching lines, the longer one's class is that of the shorter one or the next."""
+    return n if percent >= 100 else F.floor(F.ln(n) / math.log(100 / percent) + 1e-9).cast("int")
 
 
-def needed(percent: int) -> tuple[Column, Column]:
-    """(whether a common token of a and b counts, how many such ones there must be).
+def entries_of(nodes: DataFrame, percent: int, least: Column, below: int, *more: str) -> DataFrame:
+    """nodes: k1, n, mask0, mask1, at, prefix. key, token, k, n, mask0, mask1, doc, ahead (tokens of the line from this one on) of each token of a prefix with at least `least` ahead. key: the token and the class so much below the line's own."""
+    held = least_overlap(F.col("n"), percent) - 1 + F.size("prefix")
+    each = nodes.select(F.col("k1").alias("k"), "n", "mask0", "mask1", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc"), *more, (size_class(F.col("n"), percent) - below).alias("class"), held.alias("held"), F.posexplode(F.slice("prefix", F.lit(1), F.greatest(held - least + 1, F.lit(0)))).alias("i", "token"))
+    key = F.col("token").bitwiseXOR(F.shiftleft(F.col("class").cast("long"), 40))
+    return each.select(key.alias("key"), "token", "k", "n", "mask0", "mask1", "doc", *more, (F.col("held") - F.col("i")).alias("ahead"))
 
-    If the overlap is o, the first common token has o tokens from it on in both lines, the second o - 1, and so forth. So of
-    tokens with at least `least` ahead, o - least + 1 are common. Prefixes hold all of them, as they reach to least_overlap.
-    """
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    both = pair_overlap(a("n"), b("n"), percent)
-    least = F.greatest(both - 1, least_overlap(a("n"), percent), least_overlap(b("n"), percent))
-    alike = (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & (F.least(a("ahead"), b("ahead")) >= least)
-    alike &= F.least(at_most(a("n"), a("mask"), b("mask")), at_most(b("n"), b("mask"), a("mask"))) >= both
-    return alike, both - least + 1
 
+def shorter_entries(nodes: DataFrame, percent: int, *more: str) -> DataFrame:
+    """Entries for partners that are not shorter."""
+    return entries_of(nodes, percent, pair_overlap(F.col("n"), F.col("n"), percent), 0, *more)
 
-def counted(joined: DataFrame, need: Column) -> DataFrame:
-    """The pairs (a, b) that have as many common tokens as they need, with their count."""
-    each = joined.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), need.alias("need"))
-    return each.groupBy("a", "b", "need").count().where("count >= need").drop("need")
 
+def longer_entries(nodes: DataFrame, percent: int, *more: str) -> DataFrame:
+    """Entries for partners that are not longer, under each class that has such."""
+    n, both = F.col("n"), None
+    for below in (0, 1):
+        shortest, low, high = least_overlap(n, percent), n - below, n - below
+        if percent < 100:  # a little wide, as the bounds of classes are rounded
+            bound = lambda c: F.exp((size_class(n, percent) - below + c) * math.log(100 / percent))
+            low, high = F.ceil(bound(0) * (1 - 1e-8)).cast("int"), bound(1) * (1 + 1e-8)
+        each = entries_of(nodes.where(high >= shortest), percent, pair_overlap(F.greatest(shortest, low), n, percent), below, *more)
+        both = each if both is None else both.unionByName(each)
+    return both
 
-def first_offers(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for lines b with frequent tokens, the one with most in common of the earliest lines a in those tokens' lists."""
-    hot = entries_of(nodes, percent).where(level_of(F.col("token")) >= ALONE + MANY).withColumn("salt", F.pmod("k", F.lit(SALTS)))
-    leaders = hot.groupBy("token", "salt").agg(F.min(F.struct("doc", "k", "n", "mask", "ahead")).alias("first")).select("token", "salt", "first.*")
-    alike, need = needed(percent)
-    met = hot.alias("b").join(leaders.alias("a"), (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.k") != F.col("b.k")) & alike)
-    return counted(met, need).groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+def reaches(percent: int, a: str, b: str) -> Column:
+    """Whether a and b can match if this token is the first that they have in common: what is ahead, and what their masks allow, reaches the overlap that their lengths ask for."""
+    c = lambda x, name: F.col(f"{x}.{name}")
+    asked = (c(a, "n") + c(b, "n")).cast("long") * percent
+    enough = lambda x, y: F.least(x, y).cast("long") * (100 + percent) >= asked
+    ahead = enough(c(a, "ahead"), c(b, "ahead"))
+    return ahead & enough(at_most(a, b), at_most(b, a))
 
 
-def all_offers(nodes: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all lines a not after b that can match b, for the lines b that are not settled yet."""
-    known = nodes.join(settled.select("k1", "k2", F.lit(0).alias("asks")), ["k1", "k2"], "left").withColumn("asks", F.coalesce("asks", F.lit(1)))
-    entries = entries_of(known, percent, F.col("asks"))
-    alike, need = needed(percent)
-    # greatest() only says that b asks. It names both sides, so they stay one shuffle: a filter of one side would make them two.
-    asks = F.greatest(F.col("b.asks"), F.col("a.asks") - 1) == 1
-    met = entries.alias("a").join(entries.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.k") != F.col("b.k")) & (F.col("a.doc") <= F.col("b.doc")) & asks & alike)
-    return counted(met, need).select("a", "b")
+def first_offers(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for lines b with frequent tokens, the one with most in common of the earliest lines a in those tokens' lists."""
+    hot = shorter_entries(nodes, percent).where(level_of(F.col("token")) >= ALONE + MANY).withColumn("salt", F.pmod("k", F.lit(SALTS))).drop("token")
+    leaders = hot.groupBy("key", "salt").agg(F.min(F.struct("doc", "k", "n", "mask0", "mask1", "ahead")).alias("first")).select("key", "salt", "first.*")
+    near = 100 * F.least("a.n", "b.n").cast("long") >= percent * F.greatest("a.n", "b.n").cast("long")
+    met = hot.alias("b").join(leaders.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.k") != F.col("b.k")) & near & reaches(percent, "a", "b"))
+    met = met.groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).count()
+    return met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+
+def all_offers(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, count of common entries): all lines a and b that can match, b not before a, but those whose later line does not ask (nodes: asks)."""
+    parts = []
+    for part in range(PARTS):
+        of = lambda entries: entries.where(F.pmod("token", F.lit(PARTS)) == part).drop("token")  # noqa: E731, B023
+        a, b = of(shorter_entries(nodes, percent, "asks")).alias("a"), of(longer_entries(nodes, percent, "asks")).alias("b")
+        c = F.col
+        lengths = (100 * c("a.n").cast("long") >= percent * c("b.n").cast("long")) & ((c("a.n") < c("b.n")) | (c("a.n") == c("b.n")) & (c("a.k") < c("b.k")))
+        asks = (c("b.asks") & (c("a.doc") <= c("b.doc"))) | (c("a.asks") & (c("b.doc") <= c("a.doc")))
+        met = a.join(b, (c("a.key") == c("b.key")) & lengths & reaches(percent, "a", "b") & asks)
+        turn = lambda x, y: F.when(c("a.doc") <= c("b.doc"), c(x)).otherwise(c(y))  # noqa: E731, B023
+        pairs = met.select(turn("a.k", "b.k").alias("a"), turn("b.k", "a.k").alias("b")).groupBy("a", "b").count()
+        parts.append(store.table(pairs, "part"))
+        store.sweep(nodes.sparkSession)
+    whole = store.table(reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.sum("count").alias("count")), "offers")
+    store.release(*parts)
+    return whole
 
 
 def bit_of(h: Column) -> Column:
@@ -168,8 +205,8 @@ def passes(bits: Column, h: Column) -> Column:
     return F.coalesce(word.bitwiseAND(bit_of(h)) != 0, F.lit(False))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(k1, k2) of the lines b that match their a, if a is earlier. The words are read where the lines were first found."""
+def sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """k1, k2, at, tokens of the lines of pairs. The words are read where the lines were first found."""
     asked = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
     place = lambda doc: F.xxhash64(F.coalesce(doc, F.lit(NULL_ID)), "text_hash", "pos")
     asked = nodes.select("k1", "k2", "at").join(asked, "k1", "left_semi")
@@ -177,39 +214,54 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     bits = store.table(hash_filter(asked, place(F.col("doc"))), "filter")
     here = lines(docs).where(passes(bits.scalar(), place(F.col("doc_id")))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text_hash", "pos", "line")
     sets = here.join(asked, ["doc", "text_hash", "pos"]).groupBy("k1", "k2", "doc", "text_hash", "pos").agg(F.first("line").alias("line"))
-    sets = store.table(sets.select("k1", "k2", F.struct("doc", "text_hash", "pos").alias("at"), F.transform(words(F.col("line")), lambda w: F.xxhash64(w)).alias("tokens")), "sets")
+    sets = store.table(sets.select("k1", "k2", F.struct("doc", "text_hash", "pos").alias("at"), words(F.col("line")).alias("tokens")), "sets")
+    store.release(asked, bits)
+    return sets
+
+
+def matched(pairs: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """(k1, k2) of the later lines of the pairs (a, b) that match; pairs whose b is known to go are passed over."""
     side = lambda x: sets.select(F.col("k1").alias(x), F.col("k2").alias(f"k2_{x}"), F.col("at").alias(f"at_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("at_a < at_b")
+    both = pairs.select("a", "b").join(side("b"), "b")
+    if known is not None:
+        both = both.join(known.select(F.col("k1").alias("b"), F.col("k2").alias("k2_b")), ["b", "k2_b"], "left_anti")
+    both = both.join(side("a"), "a")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     match = 100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)
-    out = store.table(both.where(match).select(F.col("b").alias("k1"), F.col("k2_b").alias("k2")).distinct(), "matched")
-    store.release(asked, bits, sets)
-    return out
+    later = lambda x, y: F.when(F.col("at_a") < F.col("at_b"), F.col(y)).otherwise(F.col(x))
+    return store.table(both.where(match).select(later("a", "b").alias("k1"), later("k2_a", "k2_b").alias("k2")).distinct(), "matched")
 
 
 def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text. (lines: doc_id, text_hash, pos, k1, k2 (null without words); nodes that some line goes for: k1, k2, at (the first line's place), gone (whether that goes too))."""
-    levels = rarity_table(docs)
-    raw = lines(docs).withColumn("levels", levels.scalar())
-    raw = raw.select("doc_id", "text_hash", "pos", by_rarity(words(F.col("line")), F.col("levels")).alias("tokens")).withColumn("n", F.size("tokens"))
+    levels, top = rarity_table(docs)
+    raw = lines(docs).withColumn("levels", levels.scalar()).withColumn("top", top.scalar())
+    raw = raw.select("doc_id", "text_hash", "pos", "top", by_rarity(words(F.col("line")), F.col("levels")).alias("tokens")).withColumn("n", F.size("tokens"))
     key = lambda seed: F.when(F.col("n") > 0, F.xxhash64(F.lit(seed), "tokens"))
     # alone tokens stand first; they cannot be common
     prefix = F.filter(F.slice("tokens", F.lit(1), F.col("n") - least_overlap(F.col("n"), percent) + 1), lambda t: level_of(t) > ALONE)
-    raw = store.table(raw.select("doc_id", "text_hash", "pos", key(0).alias("k1"), key(1).alias("k2"), "n", mask(F.col("tokens")).alias("mask"), prefix.alias("prefix")), "raw")
-    store.release(levels)
+    raw = store.table(raw.select("doc_id", "text_hash", "pos", key(0).alias("k1"), key(1).alias("k2"), "n", *(mask(F.col("tokens"), F.col("top") - FREQUENT, half).alias(f"mask{half}") for half in (0, 1)), prefix.alias("prefix")), "raw")
+    store.release(levels, top)
     told = store.table(raw.select("doc_id", "text_hash", "pos", "k1", "k2"), "lines")
     place = F.min(F.struct("doc_id", "text_hash", "pos")).alias("at")
-    nodes = raw.where("n > 0").groupBy("k1", "k2").agg(place, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mask").alias("mask"), F.first("prefix").alias("prefix"))
+    nodes = raw.where("n > 0").groupBy("k1", "k2").agg(place, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mask0").alias("mask0"), F.first("mask1").alias("mask1"), F.first("prefix").alias("prefix"))
     nodes = store.table(nodes, "nodes")
     store.release(raw)
     offers = store.table(first_offers(nodes, percent), "offers")
-    settled = verified(offers, nodes, docs, percent)
-    store.release(offers)
-    offers = store.table(all_offers(nodes, settled, percent), "offers")
-    gone = store.table(settled.unionByName(verified(offers, nodes, docs, percent)).withColumn("gone", F.lit(True)), "gone")
-    looked = nodes.select("k1", "k2", "at", "copies").join(gone, ["k1", "k2"], "left").where("gone OR copies > 1")
+    sets = sets_of(offers, nodes, docs)
+    settled = matched(offers, sets, percent)
+    store.release(offers, sets)
+    known = store.table(nodes.join(settled.withColumn("gone", F.lit(True)), ["k1", "k2"], "left").withColumn("asks", F.col("gone").isNull()).drop("gone"), "known")
+    store.release(nodes)
+    offers = all_offers(known, percent)
+    sets = sets_of(offers, known, docs)
+    first = matched(offers.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")), sets, percent)
+    rest = matched(offers, sets, percent, first)
+    store.release(offers, sets)
+    gone = store.table(settled.unionByName(first).unionByName(rest).distinct().withColumn("gone", F.lit(True)), "gone")
+    looked = known.select("k1", "k2", "at", "copies").join(gone, ["k1", "k2"], "left").where("gone OR copies > 1")
     looked = store.table(looked.select("k1", "k2", "at", F.coalesce("gone", F.lit(False)).alias("gone")), "looked")
-    store.release(offers, nodes, settled, gone)
+    store.release(known, settled, first, rest, gone)
     return told, looked
 
 

@@ -41,7 +41,12 @@ def release(*tables: DataFrame) -> None:
         drop(t.sparkSession, t._lodestar_path)
         _written.remove((t.sparkSession, t._lodestar_path))
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffles go when their plans are collected, else by spark.cleaner.periodicGC.interval
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what has run: they go when their plans are collected, else by spark.cleaner.periodicGC.interval."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:

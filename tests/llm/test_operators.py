@@ -337,6 +337,20 @@ def test_lines(docs, nothing):
     assert line_dedup.removed_lines(nothing).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 75, 90, 100])
+def test_lines_that_can_match_meet_under_a_key(spark, percent):
+    """The last of the tokens that may be the first common one has an entry in either role, and both have the same class."""
+    rows = [(n, n, 0, 0, None, list(range(n - -(-n * percent // 100) + 1))) for n in range(1, 100)]
+    nodes = spark.createDataFrame(rows, "k1 long, n int, mask0 long, mask1 long, at struct<doc_id long>, prefix array<long>")
+    shorter = {(r.n, r.ahead): r.key ^ r.token for r in line_dedup.shorter_entries(nodes, percent).collect()}
+    longer = {(r.n, r.ahead, r.key ^ r.token) for r in line_dedup.longer_entries(nodes, percent).collect()}
+    for n in range(1, 100):
+        for m in range(n, min(99, 100 * n // percent) + 1):
+            both = -(-(n + m) * percent // (100 + percent))
+            assert (m, both, shorter[n, both]) in longer
+    assert len(longer) < 2 * sum(len(r[-1]) for r in rows)
+
+
 def test_language_model(docs, nothing):
     rows = [(row[0], [*words(row[1]), None]) for row in awkward()]
     held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]

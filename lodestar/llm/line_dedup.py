@@ -10,7 +10,8 @@ verified on all their words. Tokens are taken in PARTS, one after the other, so
 
 Lines with equal tokens are one node throughout, so copies cost nothing. A line goes if any earlier line matches it, so one
 match is enough: tokens of many lines first offer each line the earliest lines of their lists, and lines that go by those
-ask for no other match. What is left meets all earlier lines of its lists, first the one with most entries in common.
+ask for no other match. What is left meets all earlier lines of its lists, first the one with most entries in common; only
+lines that do not go by that one have their other pairs verified.
 
 Any order that is the same for all lines gives right results; the better it follows rarity, the fewer pairs come up. It
 comes from a table of 2^24 counters, of fixed size whatever the input, which all words are counted in by their hash. Words
@@ -36,8 +37,8 @@ BITS, PAGE = 24, 10  # of the counters' number; of the counters of a page
 ALONE = 33  # the character of a count of one
 MANY = 16  # twice the log2 of the occurrences from which on a token's earliest lines come first
 FREQUENT = 12  # words of at least 1/64 of the most frequent counter's words (again twice the log2) are not in masks
-PARTS = 4
-SALTS = 8  # parts of such a token's list, each with its own earliest line
+PARTS = 6
+SALTS = 8  # parts of such a token's list, each with its own earliest line; those of all parts are offered
 FILTER = 18  # log2 of the 64-bit words of a filter
 NULL_ID = -(1 << 63)
 WHITE = r"[\x20\x09-\x0D]+"
@@ -49,11 +50,15 @@ def lines(docs: DataFrame) -> DataFrame:
     return told.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
+def split_words(text: Column) -> Column:
+    """The words and empty strings. Texts with no white space but blanks and line ends go the shorter way."""
+    other = reduce(lambda x, y: x | y, (F.contains(text, F.lit(c)) for c in "\t\v\f\r"))
+    return F.when(other, F.split(text, WHITE)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+
+
 def words(line: Column) -> Column:
-    """Hashes of the distinct words. Lines with no white space but blanks go the shorter way."""
-    other = reduce(lambda x, y: x | y, (F.contains(line, F.lit(c)) for c in "\t\v\f\r"))
-    parts = F.when(other, F.split(line, WHITE)).otherwise(F.split(line, " "))
-    return F.array_remove(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """Hashes of the distinct words."""
+    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def bucket(token: Column) -> Column:
@@ -67,18 +72,18 @@ def in_order(entries: Column, at: str, value, blank) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(One row: levels, a byte for each counter that says how many words fall into it (twice the log2, after ALONE). One row: top, the highest level)."""
-    each = docs.select(F.explode(F.split(normalised(F.col("text")), WHITE)).alias("word")).where("word != ''")
+    """(One row: levels, pages of bytes, a byte for each counter that says how many words fall into it (twice the log2, after ALONE); what stands behind the last entry is left out. One row: top, the highest level)."""
+    each = docs.select(F.explode(split_words(normalised(F.col("text")))).alias("word")).where("word != ''")
     counts = each.groupBy(bucket(F.xxhash64("word")).alias("bucket")).count().where("count > 1")
-    level = F.char(F.least(F.lit(60), F.floor(F.log2("count") * 2)) + ALONE)
+    level = (F.least(F.lit(60), F.floor(F.log2("count") * 2)) + ALONE).cast("tinyint")
     entry = F.struct(F.col("bucket").bitwiseAND((1 << PAGE) - 1).alias("at"), level.alias("value"))
-    pad = lambda wide: lambda n, s: F.concat(F.repeat(F.lit(chr(ALONE) * wide), n), s)
-    joined = lambda c, wide: F.array_join(in_order(F.col(c), "at", lambda x: x["value"], pad(wide)), "")
+    alone = F.lit(ALONE).cast("tinyint")
+    joined = lambda c, blank: F.flatten(in_order(F.col(c), "at", lambda x: x["value"], lambda n, v: F.concat(F.array_repeat(blank, n), F.array(v))))
     pages = counts.groupBy(F.shiftright("bucket", PAGE).alias("at")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    pages = store.table(pages.select("at", F.rpad(joined("entries", 1), 1 << PAGE, chr(ALONE)).alias("value")), "pages")
+    pages = store.table(pages.select("at", joined("entries", alone).alias("value")), "pages")
     whole = pages.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("pages"))  # 2^14 pages at most
-    levels = store.table(whole.select(F.rpad(joined("pages", 1 << PAGE), 1 << BITS, chr(ALONE)).cast("binary").alias("levels")), "rarity")
-    top = store.table(pages.agg(F.coalesce(F.max(F.array_max(F.transform(F.split("value", ""), F.ascii))), F.lit(ALONE)).cast("long").alias("top")), "top")
+    levels = store.table(whole.select(joined("pages", F.array(alone)).alias("levels")), "rarity")
+    top = store.table(pages.agg(F.coalesce(F.max(F.array_max("value")), F.lit(ALONE)).cast("long").alias("top")), "top")
     store.release(pages)
     return levels, top
 
@@ -87,8 +92,9 @@ def by_rarity(words: Column, levels: Column) -> Column:
     """words (hashes) as numbers in the order of their rarity: the level in front, then the upper bits of the hash."""
 
     def number(h: Column) -> Column:
-        level = F.ascii(F.substring(levels, bucket(h) + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        page = F.get(levels, F.shiftrightunsigned(h, 64 - BITS + PAGE).cast("int"))
+        level = F.get(page, bucket(h).bitwiseAND((1 << PAGE) - 1)).cast("long")
+        return F.shiftleft(F.coalesce(level, F.lit(ALONE).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.transform(words, number))
 
@@ -160,9 +166,10 @@ def reaches(percent: int, a: str, b: str) -> Column:
 
 
 def first_offers(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for lines b with frequent tokens, the one with most in common of the earliest lines a in those tokens' lists."""
-    hot = shorter_entries(nodes, percent).where(level_of(F.col("token")) >= ALONE + MANY).withColumn("salt", F.pmod("k", F.lit(SALTS))).drop("token")
-    leaders = hot.groupBy("key", "salt").agg(F.min(F.struct("doc", "k", "n", "mask0", "mask1", "ahead")).alias("first")).select("key", "salt", "first.*")
+    """(a, b): for lines b with frequent tokens, the one with most in common of the earliest lines a in all parts of those tokens' lists."""
+    hot = shorter_entries(nodes, percent).where(level_of(F.col("token")) >= ALONE + MANY).withColumn("salt", F.pmod("k", F.lit(SALTS).cast("long"))).drop("token")
+    leaders = hot.groupBy("key", "salt").agg(F.min(F.struct("doc", "k", "n", "mask0", "mask1", "ahead")).alias("first")).select("key", "first.*")
+    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     near = 100 * F.least("a.n", "b.n").cast("long") >= percent * F.greatest("a.n", "b.n").cast("long")
     met = hot.alias("b").join(leaders.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.k") != F.col("b.k")) & near & reaches(percent, "a", "b"))
     met = met.groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).count()
@@ -170,7 +177,7 @@ def first_offers(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def all_offers(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, count of common entries): all lines a and b that can match, b not before a, but those whose later line does not ask (nodes: asks)."""
+    """(a, b, same, count of common entries): all lines a and b that can match, but those whose later line does not ask (nodes: asks). a is the earlier one unless both have the same doc_id (same)."""
     parts = []
     for part in range(PARTS):
         of = lambda entries: entries.where(F.pmod("token", F.lit(PARTS)) == part).drop("token")  # noqa: E731, B023
@@ -180,10 +187,10 @@ def all_offers(nodes: DataFrame, percent: int) -> DataFrame:
         asks = (c("b.asks") & (c("a.doc") <= c("b.doc"))) | (c("a.asks") & (c("b.doc") <= c("a.doc")))
         met = a.join(b, (c("a.key") == c("b.key")) & lengths & reaches(percent, "a", "b") & asks)
         turn = lambda x, y: F.when(c("a.doc") <= c("b.doc"), c(x)).otherwise(c(y))  # noqa: E731, B023
-        pairs = met.select(turn("a.k", "b.k").alias("a"), turn("b.k", "a.k").alias("b")).groupBy("a", "b").count()
+        pairs = met.select(turn("a.k", "b.k").alias("a"), turn("b.k", "a.k").alias("b"), (c("a.doc") == c("b.doc")).alias("same")).groupBy("a", "b", "same").count()
         parts.append(store.table(pairs, "part"))
         store.sweep(nodes.sparkSession)
-    whole = store.table(reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.sum("count").alias("count")), "offers")
+    whole = store.table(reduce(DataFrame.unionByName, parts).groupBy("a", "b", "same").agg(F.sum("count").alias("count")), "offers")
     store.release(*parts)
     return whole
 
@@ -211,20 +218,36 @@ def sets_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     place = lambda doc: F.xxhash64(F.coalesce(doc, F.lit(NULL_ID)), "text_hash", "pos")
     asked = nodes.select("k1", "k2", "at").join(asked, "k1", "left_semi")
     asked = store.table(asked.select("k1", "k2", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc"), "at.text_hash", "at.pos"), "asked")
+    text = lambda doc, told: F.xxhash64(F.coalesce(doc, F.lit(NULL_ID)), told)
     bits = store.table(hash_filter(asked, place(F.col("doc"))), "filter")
+    of_texts = store.table(hash_filter(asked, text(F.col("doc"), F.col("text_hash"))), "filter")
+    docs = docs.where(passes(of_texts.scalar(), text(F.col("doc_id").cast("long"), F.xxhash64("text"))))  # texts without an asked line are not split
     here = lines(docs).where(passes(bits.scalar(), place(F.col("doc_id")))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text_hash", "pos", "line")
     sets = here.join(asked, ["doc", "text_hash", "pos"]).groupBy("k1", "k2", "doc", "text_hash", "pos").agg(F.first("line").alias("line"))
     sets = store.table(sets.select("k1", "k2", F.struct("doc", "text_hash", "pos").alias("at"), words(F.col("line")).alias("tokens")), "sets")
-    store.release(asked, bits)
+    store.release(asked, bits, of_texts)
     return sets
 
 
-def matched(pairs: DataFrame, sets: DataFrame, percent: int, known: DataFrame | None = None) -> DataFrame:
-    """(k1, k2) of the later lines of the pairs (a, b) that match; pairs whose b is known to go are passed over."""
+def in_turn(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs: a, b, same, count, of which those with the same doc_id get their order from the places of their lines: (a, b, count), a the earlier one."""
+    at = lambda x: sets.select(F.col("k1").alias(x), F.col("at").alias(f"at_{x}"))
+    turn = lambda x, y: F.when(F.col("at_a") <= F.col("at_b"), F.col(x)).otherwise(F.col(y))
+    within = pairs.where("same").join(at("a"), "a").join(at("b"), "b").select(turn("a", "b").alias("a"), turn("b", "a").alias("b"), "count")
+    return pairs.where("NOT same").select("a", "b", "count").unionByName(within)
+
+
+def still_open(pairs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose b is not known to go, and those of them that stand for several lines (equal in k1 only)."""
+    several = nodes.groupBy("k1").count().where("count > 1").select("k1")
+    gone = known.select("k1").distinct().join(several, "k1", "left_anti")
+    return pairs.join(gone.select(F.col("k1").alias("b")), "b", "left_anti")
+
+
+def matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(k1, k2) of the later lines of the pairs (a, b) that match."""
     side = lambda x: sets.select(F.col("k1").alias(x), F.col("k2").alias(f"k2_{x}"), F.col("at").alias(f"at_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = pairs.select("a", "b").join(side("b"), "b")
-    if known is not None:
-        both = both.join(known.select(F.col("k1").alias("b"), F.col("k2").alias("k2_b")), ["b", "k2_b"], "left_anti")
     both = both.join(side("a"), "a")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     match = 100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)
@@ -255,8 +278,10 @@ def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     store.release(nodes)
     offers = all_offers(known, percent)
     sets = sets_of(offers, known, docs)
+    unordered, offers = offers, store.table(in_turn(offers, sets), "offers")
+    store.release(unordered)
     first = matched(offers.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")), sets, percent)
-    rest = matched(offers, sets, percent, first)
+    rest = matched(still_open(offers, sets, first), sets, percent)
     store.release(offers, sets)
     gone = store.table(settled.unionByName(first).unionByName(rest).distinct().withColumn("gone", F.lit(True)), "gone")
     looked = known.select("k1", "k2", "at", "copies").join(gone, ["k1", "k2"], "left").where("gone OR copies > 1")

@@ -337,6 +337,32 @@ def test_lines(docs, nothing):
     assert line_dedup.removed_lines(nothing).count() == 0
 
 
+def test_a_line_that_goes_still_takes_a_later_line_of_its_document(spark, tmp_path):
+    """Line 0 of document 1 goes for document 0 and is the only match of the shorter line 1."""
+    w = [f"w{i}" for i in range(20)]
+    rows = [(0, " ".join([*w, "more"])), (1, " ".join(w) + "\n" + " ".join(w[:15]))]
+    path = f"file://{tmp_path}/d"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(spark.read.parquet(path)).collect()} == {0: [], 1: [0, 1]}
+
+
+def test_lines_are_offered_the_earliest_lines_of_all_parts(spark):
+    token = (line_dedup.ALONE + line_dedup.MANY) << 56
+    nodes = spark.createDataFrame([(k, 8, 0, 0, (k,), [token]) for k in (3, 9)], "k1 long, n int, mask0 long, mask1 long, at struct<doc_id long>, prefix array<long>")
+    nodes = nodes.withColumn("prefix", F.array_repeat(F.element_at("prefix", 1), 3))
+    assert (3, 9) in {tuple(r) for r in line_dedup.first_offers(nodes, 75).collect()}
+
+
+def test_pairs_of_lines_known_to_go_are_not_verified(spark):
+    long3 = "a long, b long, same boolean, count long"
+    pairs = spark.createDataFrame([(1, 2, False, 1), (1, 3, False, 1), (3, 2, True, 1)], long3)
+    sets = spark.createDataFrame([(k, k, (k, 0, 0)) for k in (1, 2, 3)], "k1 long, k2 long, at struct<doc: long, text_hash: long, pos: int>")
+    turned = line_dedup.in_turn(pairs, sets)
+    assert sorted((r.a, r.b) for r in turned.collect()) == [(1, 2), (1, 3), (2, 3)]
+    known = spark.createDataFrame([(2, 2)], "k1 long, k2 long")
+    assert sorted((r.a, r.b) for r in line_dedup.still_open(turned, sets, known).collect()) == [(1, 3), (2, 3)]
+
+
 @pytest.mark.parametrize("percent", [50, 75, 90, 100])
 def test_lines_that_can_match_meet_under_a_key(spark, percent):
     """The last of the tokens that may be the first common one has an entry in either role, and both have the same class."""

@@ -31,12 +31,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm import store
-from lodestar.llm.exact_dedup import normalised
 
 BITS, PAGE = 24, 10  # of the counters' number; of the counters of a page
 ALONE = 33  # the character of a count of one
 MANY = 16  # twice the log2 of the occurrences from which on a token's earliest lines come first
 FREQUENT = 12  # words of at least 1/64 of the most frequent counter's words (again twice the log2) are not in masks
+HOT = 24  # and, again twice the log2, so much less frequent than the most frequent counter at most: such tokens' share of the entries does not grow with the input
+RARE = 6  # levels over ALONE (twice the log2 of the occurrences) from which on a token's lines are told apart by class
 PARTS = 6
 SALTS = 8  # parts of such a token's list, each with its own earliest line; those of all parts are offered
 FILTER = 18  # log2 of the 64-bit words of a filter
@@ -44,16 +45,25 @@ NULL_ID = -(1 << 63)
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+def folded(text: Column) -> Column:
+    """Equal for texts that are equal when A-Z are lower-cased, and only for these; null is empty. White space stays.
+
+    Bytes of texts that are not ASCII alone are read as Latin-1, whose lower case takes nothing together: of UTF-8's bytes it
+    changes A-Z and the first of two (0xC2 to 0xDE), to one that stands before two more or three more elsewhere."""
+    text = F.coalesce(text, F.lit(""))
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1")))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos, line (lower-cased)."""
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), normalised(F.col("text")).alias("text"))
+    """doc_id, text_hash, pos, line (folded)."""
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), folded(F.col("text")).alias("text"))
     return told.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def split_words(text: Column) -> Column:
-    """The words and empty strings. Texts with no white space but blanks and line ends go the shorter way."""
-    other = reduce(lambda x, y: x | y, (F.contains(text, F.lit(c)) for c in "\t\v\f\r"))
-    return F.when(other, F.split(text, WHITE)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+def split_words(line: Column) -> Column:
+    """The words of a line and empty strings. Lines with no white space but blanks go the shorter way."""
+    other = reduce(lambda x, y: x | y, (F.contains(line, F.lit(c)) for c in "\t\v\f\r"))
+    return F.when(other, F.split(line, WHITE)).otherwise(F.split(line, " "))
 
 
 def words(line: Column) -> Column:
@@ -72,17 +82,21 @@ def in_order(entries: Column, at: str, value, blank) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(One row: levels, pages of bytes, a byte for each counter that says how many words fall into it (twice the log2, after ALONE); what stands behind the last entry is left out. One row: top, the highest level)."""
-    each = docs.select(F.explode(split_words(normalised(F.col("text")))).alias("word")).where("word != ''")
+    """(One row: levels, a byte for each counter that says how many words fall into it (twice the log2, after ALONE); pages behind the last entry are left out. One row: top, the highest level)."""
+    each = docs.select(folded(F.col("text")).alias("text")).select(F.explode(F.split("text", "\n")).alias("line"))
+    each = each.select(F.explode(split_words(F.col("line"))).alias("word")).where("word != ''")
     counts = each.groupBy(bucket(F.xxhash64("word")).alias("bucket")).count().where("count > 1")
     level = (F.least(F.lit(60), F.floor(F.log2("count") * 2)) + ALONE).cast("tinyint")
     entry = F.struct(F.col("bucket").bitwiseAND((1 << PAGE) - 1).alias("at"), level.alias("value"))
     alone = F.lit(ALONE).cast("tinyint")
     joined = lambda c, blank: F.flatten(in_order(F.col(c), "at", lambda x: x["value"], lambda n, v: F.concat(F.array_repeat(blank, n), F.array(v))))
     pages = counts.groupBy(F.shiftright("bucket", PAGE).alias("at")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    pages = store.table(pages.select("at", joined("entries", alone).alias("value")), "pages")
+    value = joined("entries", alone)
+    pages = store.table(pages.select("at", value.alias("value")).select("at", F.concat("value", F.array_repeat(alone, (1 << PAGE) - F.size("value"))).alias("value")), "pages")
     whole = pages.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("pages"))  # 2^14 pages at most
-    levels = store.table(whole.select(joined("pages", F.array(alone)).alias("levels")), "rarity")
+    blank = F.array_repeat(alone, 1 << PAGE)
+    whole = whole.select(F.flatten(in_order(F.col("pages"), "at", lambda x: x["value"], lambda n, v: F.concat(F.flatten(F.array_repeat(blank, n)), v))).alias("levels"))
+    levels = store.table(whole, "rarity")
     top = store.table(pages.agg(F.coalesce(F.max(F.array_max("value")), F.lit(ALONE)).cast("long").alias("top")), "top")
     store.release(pages)
     return levels, top
@@ -92,9 +106,8 @@ def by_rarity(words: Column, levels: Column) -> Column:
     """words (hashes) as numbers in the order of their rarity: the level in front, then the upper bits of the hash."""
 
     def number(h: Column) -> Column:
-        page = F.get(levels, F.shiftrightunsigned(h, 64 - BITS + PAGE).cast("int"))
-        level = F.get(page, bucket(h).bitwiseAND((1 << PAGE) - 1)).cast("long")
-        return F.shiftleft(F.coalesce(level, F.lit(ALONE).cast("long")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        level = F.coalesce(F.get(levels, bucket(h)), F.lit(ALONE).cast("tinyint")).cast("long")
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.transform(words, number))
 
@@ -113,10 +126,16 @@ def pair_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.floor(((n + m) * percent + 99 + percent) / (100 + percent)).cast("int")
 
 
-def mask(tokens: Column, below: Column, half: int) -> Column:
-    """One half of 128 bits, of which each token whose level is lower than `below` sets one. Such tokens stand first."""
-    of = F.filter(tokens, lambda t: (level_of(t) < below) & (t.bitwiseAND(64) == 64 * half))
-    return F.aggregate(of, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+def mask(tokens: Column) -> Column:
+    """64 bits, of which each token sets one."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+
+
+def before_levels(tokens: Column, *levels: Column) -> Column:
+    """How many tokens stand before each of these levels, each higher than the one before; tokens are sorted."""
+    marks = [F.shiftleft(level.cast("long"), 56) for level in levels]
+    both = F.sort_array(F.concat(tokens, F.array(*marks)))
+    return F.array(*(F.array_position(both, m).cast("int") - 1 - i for i, m in enumerate(marks)))
 
 
 def at_most(a: str, b: str) -> Column:
@@ -130,30 +149,47 @@ def size_class(n: Column, percent: int) -> Column:
     return n if percent >= 100 else F.floor(F.ln(n) / math.log(100 / percent) + 1e-9).cast("int")
 
 
-def entries_of(nodes: DataFrame, percent: int, least: Column, below: int, *more: str) -> DataFrame:
-    """nodes: k1, n, mask0, mask1, at, prefix. key, token, k, n, mask0, mask1, doc, ahead (tokens of the line from this one on) of each token of a prefix with at least `least` ahead. key: the token and the class so much below the line's own."""
-    held = least_overlap(F.col("n"), percent) - 1 + F.size("prefix")
-    each = nodes.select(F.col("k1").alias("k"), "n", "mask0", "mask1", F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc"), *more, (size_class(F.col("n"), percent) - below).alias("class"), held.alias("held"), F.posexplode(F.slice("prefix", F.lit(1), F.greatest(held - least + 1, F.lit(0)))).alias("i", "token"))
-    key = F.col("token").bitwiseXOR(F.shiftleft(F.col("class").cast("long"), 40))
-    return each.select(key.alias("key"), "token", "k", "n", "mask0", "mask1", "doc", *more, (F.col("held") - F.col("i")).alias("ahead"))
+def key_of(size: Column) -> Column:
+    """The token and, unless it is rare, the class of lengths."""
+    rare = level_of(F.col("token")) < ALONE + RARE
+    return F.when(rare, F.col("token")).otherwise(F.col("token").bitwiseXOR(F.shiftleft(size.cast("long"), 40)))
 
 
-def shorter_entries(nodes: DataFrame, percent: int, *more: str) -> DataFrame:
-    """Entries for partners that are not shorter."""
-    return entries_of(nodes, percent, pair_overlap(F.col("n"), F.col("n"), percent), 0, *more)
-
-
-def longer_entries(nodes: DataFrame, percent: int, *more: str) -> DataFrame:
-    """Entries for partners that are not longer, under each class that has such."""
-    n, both = F.col("n"), None
+def bounded(nodes: DataFrame, percent: int) -> DataFrame:
+    """nodes (k1, n, mask0, mask1, at, prefix) with doc, class, held (tokens of the line from the prefix's first one on), and how long the prefix is for partners that are not shorter (limit) and for those that are not longer, by class (limit0, limit1). Stored, so that the code of entries is short enough to be compiled."""
+    n, held, limits = F.col("n"), least_overlap(F.col("n"), percent) - 1 + F.size("prefix"), []
+    within = lambda least: F.greatest(held - least + 1, F.lit(0)).cast("int")
     for below in (0, 1):
         shortest, low, high = least_overlap(n, percent), n - below, n - below
         if percent < 100:  # a little wide, as the bounds of classes are rounded
-            bound = lambda c: F.exp((size_class(n, percent) - below + c) * math.log(100 / percent))
+            bound = lambda c: F.exp((size_class(n, percent) - below + c) * math.log(100 / percent))  # noqa: E731, B023
             low, high = F.ceil(bound(0) * (1 - 1e-8)).cast("int"), bound(1) * (1 + 1e-8)
-        each = entries_of(nodes.where(high >= shortest), percent, pair_overlap(F.greatest(shortest, low), n, percent), below, *more)
-        both = each if both is None else both.unionByName(each)
-    return both
+        limits.append(F.when(high >= shortest, within(pair_overlap(F.greatest(shortest, low), n, percent))).otherwise(0).alias(f"limit{below}"))
+    doc = F.coalesce("at.doc_id", F.lit(NULL_ID)).alias("doc")
+    return nodes.select("*", doc, size_class(n, percent).alias("class"), held.alias("held"), within(pair_overlap(n, n, percent)).alias("limit"), *limits)
+
+
+def prefixes(nodes: DataFrame, percent: int, limit: Column, *more: str) -> DataFrame:
+    """i, token of each of the first `limit` tokens of a prefix, with the node's columns."""
+    nodes = nodes if "limit" in nodes.columns else bounded(nodes, percent)
+    each = nodes.select(F.col("k1").alias("k"), "n", "mask0", "mask1", "doc", *more, "class", "held", "limit0", "limit1", F.slice("prefix", F.lit(1), limit).alias("prefix"))
+    return each.select(*[c for c in each.columns if c != "prefix"], F.posexplode("prefix").alias("i", "token"))
+
+
+def shorter_entries(nodes: DataFrame, percent: int, *more: str) -> DataFrame:
+    """key, token, k, n, mask0, mask1, doc, more, ahead (tokens of the line from this one on): entries for partners that are not shorter."""
+    each = prefixes(nodes, percent, F.col("limit"), *more)
+    return each.select(key_of(F.col("class")).alias("key"), "token", "k", "n", "mask0", "mask1", "doc", *more, (F.col("held") - F.col("i")).alias("ahead"))
+
+
+def longer_entries(nodes: DataFrame, percent: int, *more: str) -> DataFrame:
+    """The same for partners that are not longer, under each class that has such; rare tokens have one entry for all."""
+    each = prefixes(nodes, percent, F.greatest("limit0", "limit1"), *more)
+    fits = lambda below: F.col("i") < F.col(f"limit{below}")
+    one = lambda *below: F.array(*(F.lit(b) for b in below))
+    belows = F.when((level_of(F.col("token")) < ALONE + RARE) | ~fits(1), one(0)).when(fits(0), one(0, 1)).otherwise(one(1))
+    each = each.select("*", F.explode(belows).alias("below"))
+    return each.select(key_of(F.col("class") - F.col("below")).alias("key"), "token", "k", "n", "mask0", "mask1", "doc", *more, (F.col("held") - F.col("i")).alias("ahead"))
 
 
 def reaches(percent: int, a: str, b: str) -> Column:
@@ -165,13 +201,13 @@ def reaches(percent: int, a: str, b: str) -> Column:
     return ahead & enough(at_most(a, b), at_most(b, a))
 
 
-def first_offers(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for lines b with frequent tokens, the one with most in common of the earliest lines a in all parts of those tokens' lists."""
-    hot = shorter_entries(nodes, percent).where(level_of(F.col("token")) >= ALONE + MANY).withColumn("salt", F.pmod("k", F.lit(SALTS).cast("long"))).drop("token")
-    leaders = hot.groupBy("key", "salt").agg(F.min(F.struct("doc", "k", "n", "mask0", "mask1", "ahead")).alias("first")).select("key", "first.*")
-    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+def first_offers(nodes: DataFrame, percent: int, least: Column | None = None) -> DataFrame:
+    """(a, b): for lines b with frequent tokens (of level `least` or more), the one with most in common of the earliest lines a in all parts of those tokens' lists."""
+    frequent = level_of(F.col("token")) >= (F.lit(ALONE + MANY) if least is None else least)
+    hot = shorter_entries(nodes, percent).where(frequent).drop("token")
+    leaders = hot.groupBy("key", F.pmod("k", F.lit(SALTS).cast("long"))).agg(F.min(F.struct("doc", "k", "n", "mask0", "mask1", "ahead")).alias("first")).select("key", "first.*")
     near = 100 * F.least("a.n", "b.n").cast("long") >= percent * F.greatest("a.n", "b.n").cast("long")
-    met = hot.alias("b").join(leaders.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.k") != F.col("b.k")) & near & reaches(percent, "a", "b"))
+    met = hot.alias("b").join(leaders.alias("a"), (F.col("a.key") == F.col("b.key")) & (F.col("a.k") != F.col("b.k")) & near & reaches(percent, "a", "b"))
     met = met.groupBy(F.col("a.k").alias("a"), F.col("b.k").alias("b")).count()
     return met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
@@ -180,7 +216,8 @@ def all_offers(nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b, same, count of common entries): all lines a and b that can match, but those whose later line does not ask (nodes: asks). a is the earlier one unless both have the same doc_id (same)."""
     parts = []
     for part in range(PARTS):
-        of = lambda entries: entries.where(F.pmod("token", F.lit(PARTS)) == part).drop("token")  # noqa: E731, B023
+        # the number is in an array as generated code then is the same for all parts, and compiled once
+        of = lambda entries: entries.where(F.array_contains(F.array(F.lit(part).cast("long")), F.pmod("token", F.lit(PARTS)))).drop("token")  # noqa: E731, B023
         a, b = of(shorter_entries(nodes, percent, "asks")).alias("a"), of(longer_entries(nodes, percent, "asks")).alias("b")
         c = F.col
         lengths = (100 * c("a.n").cast("long") >= percent * c("b.n").cast("long")) & ((c("a.n") < c("b.n")) | (c("a.n") == c("b.n")) & (c("a.k") < c("b.k")))
@@ -261,16 +298,23 @@ def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     raw = lines(docs).withColumn("levels", levels.scalar()).withColumn("top", top.scalar())
     raw = raw.select("doc_id", "text_hash", "pos", "top", by_rarity(words(F.col("line")), F.col("levels")).alias("tokens")).withColumn("n", F.size("tokens"))
     key = lambda seed: F.when(F.col("n") > 0, F.xxhash64(F.lit(seed), "tokens"))
-    # alone tokens stand first; they cannot be common
-    prefix = F.filter(F.slice("tokens", F.lit(1), F.col("n") - least_overlap(F.col("n"), percent) + 1), lambda t: level_of(t) > ALONE)
-    raw = store.table(raw.select("doc_id", "text_hash", "pos", key(0).alias("k1"), key(1).alias("k2"), "n", *(mask(F.col("tokens"), F.col("top") - FREQUENT, half).alias(f"mask{half}") for half in (0, 1)), prefix.alias("prefix")), "raw")
-    store.release(levels, top)
+    # the masks take the tokens of the lower and of the upper half of the levels, but for the most frequent; alone tokens stand first and cannot be common
+    below = F.greatest(F.col("top") - FREQUENT, F.lit(ALONE + 3).cast("long"))
+    middle = F.floor((below + ALONE + 1) / 2).cast("long")
+    raw = raw.select("*", before_levels(F.col("tokens"), F.lit(ALONE + 1), middle, below).alias("to"))
+    upto = lambda i, j: F.slice("tokens", F.get("to", i) + 1, F.get("to", j) - F.get("to", i))
+    lower = F.slice("tokens", F.lit(1), F.get("to", F.lit(1)))
+    prefix = F.slice("tokens", F.get("to", F.lit(0)) + 1, F.greatest(F.col("n") - least_overlap(F.col("n"), percent) + 1 - F.get("to", F.lit(0)), F.lit(0)))
+    raw = store.table(raw.select("doc_id", "text_hash", "pos", key(0).alias("k1"), key(1).alias("k2"), "n", mask(lower).alias("mask0"), mask(upto(F.lit(1), F.lit(2))).alias("mask1"), prefix.alias("prefix")), "raw")
+    least = top.scalar() - HOT
+    store.release(levels)
     told = store.table(raw.select("doc_id", "text_hash", "pos", "k1", "k2"), "lines")
     place = F.min(F.struct("doc_id", "text_hash", "pos")).alias("at")
     nodes = raw.where("n > 0").groupBy("k1", "k2").agg(place, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mask0").alias("mask0"), F.first("mask1").alias("mask1"), F.first("prefix").alias("prefix"))
-    nodes = store.table(nodes, "nodes")
+    nodes = store.table(bounded(nodes, percent), "nodes")
     store.release(raw)
-    offers = store.table(first_offers(nodes, percent), "offers")
+    offers = store.table(first_offers(nodes, percent, F.greatest(least, F.lit(ALONE + MANY).cast("long"))), "offers")
+    store.release(top)
     sets = sets_of(offers, nodes, docs)
     settled = matched(offers, sets, percent)
     store.release(offers, sets)

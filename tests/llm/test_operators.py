@@ -353,6 +353,38 @@ def test_lines_are_offered_the_earliest_lines_of_all_parts(spark):
     assert (3, 9) in {tuple(r) for r in line_dedup.first_offers(nodes, 75).collect()}
 
 
+def test_leaders_of_frequent_tokens_are_not_multiplied(spark):
+    """A leader row is joined once, not once for each part, and what counts as frequent can follow the input's size."""
+    token = (line_dedup.ALONE + line_dedup.MANY) << 56
+    nodes = spark.createDataFrame([(k, 8, 0, 0, (k,), [token] * 3) for k in range(40)], "k1 long, n int, mask0 long, mask1 long, at struct<doc_id long>, prefix array<long>")
+    offers = line_dedup.first_offers(nodes, 75)
+    assert "sequence" not in offers._jdf.queryExecution().analyzed().toString()
+    assert sorted(r.b for r in offers.collect()) == list(range(40))
+    assert line_dedup.first_offers(nodes, 75, F.lit(line_dedup.ALONE + line_dedup.MANY + 1)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [75, 90])
+def test_rare_tokens_have_one_entry_for_each_role(spark, percent):
+    for level, classes in ((line_dedup.RARE - 1, {0}), (line_dedup.RARE, None)):
+        rows = [(n, n, 0, 0, None, [(line_dedup.ALONE + level << 56) + i for i in range(n - -(-n * percent // 100) + 1)]) for n in range(1, 100)]
+        nodes = spark.createDataFrame(rows, "k1 long, n int, mask0 long, mask1 long, at struct<doc_id long>, prefix array<long>")
+        shorter = {(r.n, r.ahead): r.key ^ r.token for r in line_dedup.shorter_entries(nodes, percent).collect()}
+        all_longer = [(r.n, r.ahead, r.key ^ r.token) for r in line_dedup.longer_entries(nodes, percent).collect()]
+        longer = set(all_longer)
+        assert len(longer) == len(all_longer)
+        assert {key for _, _, key in longer} == classes if classes else len({key for _, _, key in longer}) > 5
+        for n in range(1, 100):
+            for m in range(n, min(99, 100 * n // percent) + 1):
+                both = -(-(n + m) * percent // (100 + percent))
+                assert (m, both, shorter[n, both]) in longer
+
+
+def test_folded_texts_are_equal_only_if_lower_case_makes_them(spark):
+    texts = [c + "x" for c in map(chr, [*range(1, 0x600), 0x1E00, 0x20AC, 0x3042, 0xD55C, 0xFF21, 0x1F600, 0x10400])] + ["A É", "a É", "a é", "ÀB", "àb", "Àb", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", line_dedup.folded(F.col("text")).alias("folded")).collect()
+    assert len({r.folded for r in rows}) == len({r.text.translate(LOWER) for r in rows}) == len({(r.folded, r.text.translate(LOWER)) for r in rows})
+
+
 def test_pairs_of_lines_known_to_go_are_not_verified(spark):
     long3 = "a long, b long, same boolean, count long"
     pairs = spark.createDataFrame([(1, 2, False, 1), (1, 3, False, 1), (3, 2, True, 1)], long3)

@@ -37,8 +37,8 @@ ALONE = 33  # the character of a count of one
 MANY = 16  # twice the log2 of the occurrences from which on a token's earliest lines come first
 FREQUENT = 12  # words of at least 1/64 of the most frequent counter's words (again twice the log2) are not in masks
 HOT = 24  # and, again twice the log2, so much less frequent than the most frequent counter at most: such tokens' share of the entries does not grow with the input
-RARE = 6  # levels over ALONE (twice the log2 of the occurrences) from which on a token's lines are told apart by class
-PARTS = 6
+RARE = 11  # levels over ALONE (twice the log2 of the occurrences) from which on a token's lines are told apart by class
+PARTS = 4
 SALTS = 8  # parts of such a token's list, each with its own earliest line; those of all parts are offered
 FILTER = 18  # log2 of the 64-bit words of a filter
 NULL_ID = -(1 << 63)
@@ -81,11 +81,14 @@ def in_order(entries: Column, at: str, value, blank) -> Column:
     return F.transform(entries, lambda x, i: blank(x[at] - before(i) - 1, value(x)))
 
 
-def rarity_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(One row: levels, a byte for each counter that says how many words fall into it (twice the log2, after ALONE); pages behind the last entry are left out. One row: top, the highest level)."""
-    each = docs.select(folded(F.col("text")).alias("text")).select(F.explode(F.split("text", "\n")).alias("line"))
-    each = each.select(F.explode(split_words(F.col("line"))).alias("word")).where("word != ''")
-    counts = each.groupBy(bucket(F.xxhash64("word")).alias("bucket")).count().where("count > 1")
+def worded(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, pos, words (hashes of the distinct words) of each line. Stored, as splitting is the dearest step: words are counted and ordered from here."""
+    return store.table(lines(docs).select("doc_id", "text_hash", "pos", words(F.col("line")).alias("words")), "words")
+
+
+def rarity_table(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """told: words, of each line. (One row: levels, a byte for each of all counters that says how many lines' words fall into it (twice the log2, after ALONE). One row: top, the highest level)."""
+    counts = told.select(F.explode("words").alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).count().where("count > 1")
     level = (F.least(F.lit(60), F.floor(F.log2("count") * 2)) + ALONE).cast("tinyint")
     entry = F.struct(F.col("bucket").bitwiseAND((1 << PAGE) - 1).alias("at"), level.alias("value"))
     alone = F.lit(ALONE).cast("tinyint")
@@ -96,7 +99,7 @@ def rarity_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = pages.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("pages"))  # 2^14 pages at most
     blank = F.array_repeat(alone, 1 << PAGE)
     whole = whole.select(F.flatten(in_order(F.col("pages"), "at", lambda x: x["value"], lambda n, v: F.concat(F.flatten(F.array_repeat(blank, n)), v))).alias("levels"))
-    levels = store.table(whole, "rarity")
+    levels = store.table(whole.select(F.concat("levels", F.array_repeat(alone, (1 << BITS) - F.size("levels"))).alias("levels")), "rarity")
     top = store.table(pages.agg(F.coalesce(F.max(F.array_max("value")), F.lit(ALONE)).cast("long").alias("top")), "top")
     store.release(pages)
     return levels, top
@@ -104,12 +107,7 @@ def rarity_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def by_rarity(words: Column, levels: Column) -> Column:
     """words (hashes) as numbers in the order of their rarity: the level in front, then the upper bits of the hash."""
-
-    def number(h: Column) -> Column:
-        level = F.coalesce(F.get(levels, bucket(h)), F.lit(ALONE).cast("tinyint")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    return F.sort_array(F.transform(words, number))
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(F.get(levels, bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def level_of(token: Column) -> Column:
@@ -222,7 +220,8 @@ def all_offers(nodes: DataFrame, percent: int) -> DataFrame:
         c = F.col
         lengths = (100 * c("a.n").cast("long") >= percent * c("b.n").cast("long")) & ((c("a.n") < c("b.n")) | (c("a.n") == c("b.n")) & (c("a.k") < c("b.k")))
         asks = (c("b.asks") & (c("a.doc") <= c("b.doc"))) | (c("a.asks") & (c("b.doc") <= c("a.doc")))
-        met = a.join(b, (c("a.key") == c("b.key")) & lengths & reaches(percent, "a", "b") & asks)
+        # neither side is sorted: the entries of the shorter lines, the fewer ones, are hashed
+        met = a.hint("shuffle_hash").join(b, (c("a.key") == c("b.key")) & lengths & reaches(percent, "a", "b") & asks)
         turn = lambda x, y: F.when(c("a.doc") <= c("b.doc"), c(x)).otherwise(c(y))  # noqa: E731, B023
         pairs = met.select(turn("a.k", "b.k").alias("a"), turn("b.k", "a.k").alias("b"), (c("a.doc") == c("b.doc")).alias("same")).groupBy("a", "b", "same").count()
         parts.append(store.table(pairs, "part"))
@@ -294,9 +293,10 @@ def matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text. (lines: doc_id, text_hash, pos, k1, k2 (null without words); nodes that some line goes for: k1, k2, at (the first line's place), gone (whether that goes too))."""
-    levels, top = rarity_table(docs)
-    raw = lines(docs).withColumn("levels", levels.scalar()).withColumn("top", top.scalar())
-    raw = raw.select("doc_id", "text_hash", "pos", "top", by_rarity(words(F.col("line")), F.col("levels")).alias("tokens")).withColumn("n", F.size("tokens"))
+    split = worded(docs)
+    levels, top = rarity_table(split)
+    raw = split.withColumn("levels", levels.scalar()).withColumn("top", top.scalar())
+    raw = raw.select("doc_id", "text_hash", "pos", "top", by_rarity(F.col("words"), F.col("levels")).alias("tokens")).withColumn("n", F.size("tokens"))
     key = lambda seed: F.when(F.col("n") > 0, F.xxhash64(F.lit(seed), "tokens"))
     # the masks take the tokens of the lower and of the upper half of the levels, but for the most frequent; alone tokens stand first and cannot be common
     below = F.greatest(F.col("top") - FREQUENT, F.lit(ALONE + 3).cast("long"))
@@ -307,7 +307,7 @@ def matches(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     prefix = F.slice("tokens", F.get("to", F.lit(0)) + 1, F.greatest(F.col("n") - least_overlap(F.col("n"), percent) + 1 - F.get("to", F.lit(0)), F.lit(0)))
     raw = store.table(raw.select("doc_id", "text_hash", "pos", key(0).alias("k1"), key(1).alias("k2"), "n", mask(lower).alias("mask0"), mask(upto(F.lit(1), F.lit(2))).alias("mask1"), prefix.alias("prefix")), "raw")
     least = top.scalar() - HOT
-    store.release(levels)
+    store.release(split, levels)
     told = store.table(raw.select("doc_id", "text_hash", "pos", "k1", "k2"), "lines")
     place = F.min(F.struct("doc_id", "text_hash", "pos")).alias("at")
     nodes = raw.where("n > 0").groupBy("k1", "k2").agg(place, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("mask0").alias("mask0"), F.first("mask1").alias("mask1"), F.first("prefix").alias("prefix"))

@@ -363,6 +363,35 @@ def test_leaders_of_frequent_tokens_are_not_multiplied(spark):
     assert line_dedup.first_offers(nodes, 75, F.lit(line_dedup.ALONE + line_dedup.MANY + 1)).count() == 0
 
 
+def test_words_are_split_once_for_counting_and_ordering(spark, tmp_path, monkeypatch):
+    """A word that one line alone has, however often, is alone; levels cover all counters; the texts are not read again for the order."""
+    path = f"file://{tmp_path}/d"
+    spark.createDataFrame([(0, "x x x y"), (1, "y z\ny")], "doc_id long, text string").write.parquet(path)
+    split, times = line_dedup.split_words, []
+    monkeypatch.setattr(line_dedup, "split_words", lambda line: times.append(1) or split(line))
+    told = line_dedup.worded(spark.read.parquet(path))
+    levels, top = line_dedup.rarity_table(told)
+    level = lambda w: F.get("levels", line_dedup.bucket(F.xxhash64(F.lit(w)))).cast("int")
+    got = levels.select(F.size("levels"), level("x"), level("y"), level("z")).first()
+    assert tuple(got) == (1 << line_dedup.BITS, line_dedup.ALONE, line_dedup.ALONE + 3, line_dedup.ALONE)
+    assert top.first()[0] == line_dedup.ALONE + 3
+    assert len(times) == 1
+
+
+def test_entries_meet_without_a_sort(spark):
+    nodes = spark.createDataFrame([(k, 8, 0, 0, (k,), [1, 2, 3], True) for k in (3, 9)], "k1 long, n int, mask0 long, mask1 long, at struct<doc_id long>, prefix array<long>, asks boolean")
+    plans, write = [], store.table
+
+    def seen(df, label, parts=None):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label, parts)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(store, "table", seen)
+        assert {(r.a, r.b) for r in line_dedup.all_offers(nodes, 75).collect()} == {(3, 9)}
+    assert all("ShuffledHashJoin" in plan and "SortMergeJoin" not in plan for label, plan in plans if label == "part")
+
+
 @pytest.mark.parametrize("percent", [75, 90])
 def test_rare_tokens_have_one_entry_for_each_role(spark, percent):
     for level, classes in ((line_dedup.RARE - 1, {0}), (line_dedup.RARE, None)):
